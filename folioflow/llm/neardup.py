@@ -285,3 +285,19 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     out = rows.drop("sketch").join(label_of, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component, each once; all columns are kept.
+
+    Rows with a null doc_id stay. Of several rows with one doc_id, the one with the least text stays.
+    """
+    found = near_duplicates(docs, p)
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = durable(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id"))
+    if again.isEmpty():
+        return left
+    order = Window.partitionBy("doc_id").orderBy("text")
+    once = left.join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)

@@ -9,6 +9,8 @@ compound forms of a learnt word count as well.
 from __future__ import annotations
 
 import re
+from array import array
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,48 +72,46 @@ def fit(texts: list[str], labels: list[int], how: Training = Training()) -> Toxi
     y = np.array(labels, dtype=float)
     if not len(texts) or y.min() == y.max():
         return ToxicityModel({}, -12.0, float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 0.4)))
-    index: dict[str, int] = {}
-    seen: list[int] = []
-    rows, cols, owner, n = [], [], [], 0
+    # occurrences name words, and words name features: the large arrays have one entry for each occurrence
+    names: dict[str, int] = {}
+    seen, owner, n = Counter(), [], 0
+    word_of, sentence_of = array("i"), array("i")
     for d, text in enumerate(texts):
-        used = set()
         for words in _sentences(text):
-            for w in words:
-                for f in word_features(w):
-                    i = index.setdefault(f, len(index))
-                    if i == len(seen):
-                        seen.append(0)
-                    if i not in used:
-                        used.add(i)
-                        seen[i] += 1
-                    rows.append(n)
-                    cols.append(i)
+            word_of.extend([names.setdefault(w, len(names)) for w in words])
+            sentence_of.extend([n] * len(words))
             owner.append(d)
             n += 1
-    keep = np.array(seen) >= how.min_documents
-    new = np.cumsum(keep) - 1
-    rows, cols = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
-    ok = keep[cols]
-    rows, cols, owner, m = rows[ok], new[cols[ok]], np.array(owner), int(keep.sum())
+        seen.update({f for w in set(_TOKENS.findall(text.lower())) if w[0].isalnum() for f in word_features(w)})
+    index = {f: i for i, f in enumerate(sorted(f for f, k in seen.items() if k >= how.min_documents))}
+    feature, word = array("i"), array("i")
+    for w, k in names.items():
+        have = [index[f] for f in word_features(w) if f in index]
+        feature.extend(have)
+        word.extend([k] * len(have))
+    word_of, sentence_of, feature, word = (np.array(x, dtype=np.int64) for x in (word_of, sentence_of, feature, word))
+    owner, m, total = np.array(owner, dtype=np.int64), len(index), len(names)
+    del names, seen
     w, b, leak = np.zeros(m), -6.0, 1e-3
     m1, m2, b1, b2 = np.zeros(m), np.zeros(m), 0.0, 0.0
     share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
     for t in range(1, how.rounds + 1):
-        z = b + np.bincount(rows, weights=w[cols], minlength=n)
+        per_word = np.bincount(word, weights=w[feature], minlength=total)
+        z = b + np.bincount(sentence_of, weights=per_word[word_of], minlength=n)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         quiet = -np.bincount(owner, weights=np.logaddexp(0, np.clip(z, -30, 30)), minlength=len(y)) + np.log1p(-leak)
         chance = np.clip(-np.expm1(quiet), 1e-9, 1)
         pull = np.where(y > 0, -(1 - chance) / chance, 1.0) * share
         gz = pull[owner] * p
-        g = np.bincount(cols, weights=gz[rows], minlength=m) / len(y) + how.shrink * np.sign(w)
+        of_word = np.bincount(word_of, weights=gz[sentence_of], minlength=total)
+        g = np.bincount(feature, weights=of_word[word], minlength=m) / len(y) + how.shrink * np.sign(w)
         gb = gz.sum() / len(y)
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         b1, b2 = 0.9 * b1 + 0.1 * gb, 0.99 * b2 + 0.01 * gb * gb
         step = how.rate * (1 - 0.8 * t / how.rounds)
         w -= step * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-6)
         b = min(-4.0, b - step * (b1 / (1 - 0.9**t)) / (np.sqrt(b2 / (1 - 0.99**t)) + 1e-6))
-    names = [f for f, i in sorted(index.items(), key=lambda x: x[1]) if keep[i]]
-    return ToxicityModel({f: float(x) for f, x in zip(names, w) if abs(x) > 1e-3}, float(b), leak)
+    return ToxicityModel({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}, float(b), leak)
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, usable: Column, how: Training = Training()) -> tuple[list[str], list[int]]:
