@@ -33,14 +33,14 @@ class NearDup:
     """shingle: words of a shingle. percent: least 100 * intersection / union of a link.
 
     keep: retained values of a set. overlap: retained values that linked sets share at least; at 0.8 the
-    chance to share fewer than 15 of 32 is under 4 in a million. block: shingles of the members that one
+    chance to share fewer than 10 of 24 is 7 in a million. block: shingles of the members that one
     task holds at a time.
     """
 
     shingle: int = 5
     percent: int = 80
-    keep: int = 32
-    overlap: int = 15
+    keep: int = 24
+    overlap: int = 10
     block: int = 1 << 17
 
 
@@ -127,12 +127,14 @@ def _fits(a: str, b: str, p: NearDup):
 
 def _sets_of(wanted: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
     """(digest, shingles) of the wanted classes (digest, doc_id), from the texts of those documents alone."""
-    texts = docs.join(wanted, "doc_id").select("digest", "text")
-    return durable(full_sets(texts, p).dropDuplicates(["digest"]))
+    sets = durable(full_sets(docs.join(wanted, "doc_id").select("digest", "text"), p))
+    if sets.groupBy("digest").count().where("count > 1").isEmpty():  # no repeated rows: nothing to shuffle
+        return sets
+    return durable(sets.dropDuplicates(["digest"]))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
-    """(a, b) of the rows of (da, a, db, b), classes by digest and document, that are similar enough."""
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDup) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of the rows of (da, a, db, b), classes by digest and document, that are similar enough; and the sets used."""
     side = classes.select("digest", "sketch")
     est = (
         pairs.join(side.select(F.col("digest").alias("da"), F.col("sketch").alias("sa")), "da")
@@ -149,18 +151,17 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDup)
         sets.select(F.col("digest").alias("da"), F.col("shingles").alias("xa")), "da"
     )
     inter = F.size(F.array_intersect("xa", "xb"))
-    return joined.where(inter * 100 >= (F.size("xa") + F.size("xb") - inter) * p.percent).select("a", "b").distinct()
+    links = joined.where(inter * 100 >= (F.size("xa") + F.size("xb") - inter) * p.percent).select("a", "b").distinct()
+    return links, sets
 
 
 class _Block:
-    """Members of one block, with inverted lists of their retained values and of all their shingles."""
-
-    def __init__(self, rows: list, p: NearDup):
-        self.p = p
-        self.rep = np.array([r[0] for r in rows])
-        self.label = np.array([r[1] for r in rows])
-        self.sets = [r[2] for r in rows]
-        self.n = np.fromiter(map(len, self.sets), np.int64, len(rows))
+    """Members of one block, with inverted lists of their retained values and, if whole, of all shingles."""
+
+    def __init__(self, rows: list, p: NearDup, whole: bool):
+        self.p, self.whole = p, whole
+        self.digest, self.rep, self.label, self.n, self.sets = zip(*rows)
+        self.rep, self.label, self.n = (np.array(x, dtype=np.int64) for x in (self.rep, self.label, self.n))
         self.low = self._index([s[: p.keep] for s in self.sets])
         self.all = None
 
@@ -181,16 +182,16 @@ class _Block:
         at = np.repeat(a - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
         return owners[at], places[at], np.repeat(np.arange(1, len(probe) + 1), lengths)
 
-    def probe(self, rep: int, label: int, shingles: np.ndarray):
-        """One member linked to the probe for each component other than its own."""
-        p, n, low = self.p, len(shingles), shingles[: self.p.keep]
+    def probe(self, label: int, n: int, shingles: np.ndarray) -> np.ndarray:
+        """Flags of the members outside the probe's component that are similar enough: by sketch, then, if whole, exactly."""
+        p, low = self.p, shingles[: self.p.keep]
         member, place, own = self._shared(self.low, low)
         both = np.bincount(member, minlength=len(self.sets))
         size = np.minimum(self.n, n)
         need = np.where(size * 100 <= p.keep * p.percent, -(-size * p.percent // 100), p.overlap)
         maybe = (both >= need) & (self.label != label) & (size * 100 >= np.maximum(self.n, n) * p.percent)
         if not maybe.any():
-            return
+            return maybe
         # a shared value's rank in the union of both sketches: values up to it here and there, shared ones once
         order = np.argsort(member, kind="stable")
         member, place, own = member[order], place[order], own[order]
@@ -198,49 +199,98 @@ class _Block:
         retained = np.bincount(member[rank <= p.keep], minlength=len(self.sets))
         union = np.minimum(self.n, p.keep) + len(low) - both
         maybe &= np.where(union < p.keep, both * 100 >= union * p.percent, retained >= p.overlap)
-        if not maybe.any():
-            return
-        if self.all is None:
-            self.all = self._index(self.sets)
-        inter = np.bincount(self._shared(self.all, shingles)[0], minlength=len(self.sets))
-        linked = np.flatnonzero(maybe & (inter * 100 >= (self.n + n - inter) * p.percent))
-        for i in np.unique(self.label[linked], return_index=True)[1]:
-            yield rep, self.rep[linked[i]]
+        if self.whole and maybe.any():
+            if self.all is None:
+                self.all = self._index(self.sets)
+            inter = np.bincount(self._shared(self.all, shingles)[0], minlength=len(self.sets))
+            maybe &= inter * 100 >= (self.n + n - inter) * p.percent
+        return maybe
+
+
+def _blocks(rows: DataFrame, weight: str, most: int) -> DataFrame:
+    """rows (home, digest, apart, ...) dealt to blocks of each home: member tells where a row is held, probe
+    where it asks. A home that is one block gets every row once; else those apart ask every block."""
+    homes = rows.groupBy("home").agg(F.ceil(F.sum(weight) / most).cast("int").alias("blocks"), F.max("apart").alias("any")).where("any").drop("any")
+    rows = rows.join(homes, "home").withColumn("own", F.pmod(F.xxhash64("digest"), "blocks").cast("int"))
+    asked = F.when(F.col("apart"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    rows = rows.withColumn("block", F.explode(asked)).withColumn("member", F.col("block") == F.col("own"))
+    rows = rows.select("home", "block", "member", F.col("apart").alias("probe"), "digest", "rep", "label", "n", "values")
+    return rows.repartition("home", "block").sortWithinPartitions("home", "block", F.desc("member"))
+
+
+def _ask(dealt: DataFrame, p: NearDup, whole: bool, answer, schema: str) -> DataFrame:
+    """answer(block, probe's row, flags of the members that fit it) yields rows of schema for every probe that some fit."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = [pa.binary() if f.endswith("binary") else pa.int64() for f in schema.split(", ")]
 
+    def run(batches):
+        at, members, waiting, block, found = None, [], [], None, []
 
-def _probed(lists_: DataFrame, hubs: DataFrame, labels: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
-    """(a, b): links of the members outside their list's hub's component; at least one to each component."""
-    hub_label = _named(hubs.select("value", F.col("hub.rep").alias("rep")), labels).select("value", F.col("label").alias("home"))
-    named = _named(lists_, labels).join(hub_label, "value").select("home", "digest", "rep", "n", "label").distinct()
-    named = durable(named.withColumn("apart", F.col("home") != F.col("label")))
-    homes = named.groupBy("home").agg(F.max("apart").alias("any"), F.ceil(F.sum("n") / p.block).cast("int").alias("blocks")).where("any")
-    rows = named.join(homes.drop("any"), "home")
-    sets = _sets_of(rows.select("digest", F.col("rep").alias("doc_id")).distinct(), docs, p)
-    own = rows.withColumn("block", F.pmod(F.xxhash64("digest"), "blocks").cast("int")).withColumn("probe", F.lit(0))
-    probes = rows.where("apart").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(1))
-    dealt = own.unionByName(probes).join(sets, "digest").select("home", "block", "probe", "rep", "label", "shingles")
-    dealt = dealt.repartition("home", "block").sortWithinPartitions("home", "block", "probe")
+        def ask(row):
+            nonlocal block
+            block = block or _Block(members, p, whole)
+            fit = block.probe(row[2], row[3], row[4])
+            if fit.any():
+                found.extend(answer(block, row, fit))
 
-    def run(batches):
-        at, members, block = None, [], None
         for batch in batches:
-            home, part, probe, rep, label = (batch.column(i).to_pylist() for i in range(5))
-            shingles = batch.column(5)
-            flat, cuts = shingles.flatten().to_numpy().view(_U), shingles.offsets.to_numpy() - shingles.offsets[0].as_py()
-            found = []
+            home, part, member, probe, digest, rep, label, n = (batch.column(i).to_pylist() for i in range(8))
+            values = batch.column(8)
+            flat, cuts = values.flatten().to_numpy().view(_U), values.offsets.to_numpy() - values.offsets[0].as_py()
             for i in range(batch.num_rows):
                 if (home[i], part[i]) != at:
-                    at, members, block = (home[i], part[i]), [], None
-                values = flat[cuts[i] : cuts[i + 1]]
-                if not probe[i]:
-                    members.append((rep[i], label[i], values.copy()))
+                    for row in waiting:
+                        ask(row)
+                    at, members, waiting, block = (home[i], part[i]), [], [], None
+                row = (digest[i], rep[i], label[i], n[i], flat[cuts[i] : cuts[i + 1]].copy())
+                if member[i]:
+                    members.append(row)
+                    if probe[i]:
+                        waiting.append(row)
                 elif members:
-                    block = block or _Block(members, p)
-                    found.extend(block.probe(rep[i], label[i], values))
+                    ask(row)
             if found:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([int(y) for _, y in found], pa.int64())})
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=names)
+                found = []
+        for row in waiting:
+            ask(row)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=names)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _probed(lists_: DataFrame, hubs: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, full: DataFrame, p: NearDup) -> DataFrame:
+    """(a, b): links of the members outside their list's hub's component; at least one to each component.
+
+    First by sketches alone, which tells who can be linked at all; full sets are made for those only, and
+    only where full has none yet.
+    """
+    hub_label = _named(hubs.select("value", F.col("hub.rep").alias("rep")), labels).select("value", F.col("label").alias("home"))
+    named = _named(lists_.select("value", "digest", "rep", "n"), labels).join(hub_label, "value").select("home", "digest", "rep", "n", "label").distinct()
+    named = durable(named.withColumn("apart", F.col("home") != F.col("label")))
+    some = named.groupBy("home").agg(F.max("apart").alias("any")).where("any").select("home")
+    light = named.join(some, "home").join(classes.select("digest", F.col("sketch").alias("values")), "digest")
+
+    def both_sides(block, row, fit):
+        yield row[0], row[1]
+        for i in np.flatnonzero(fit):
+            yield block.digest[i], block.rep[i]
+
+    dealt = _blocks(light.withColumn("one", F.lit(1)), "one", p.block // p.keep)
+    near = durable(_ask(dealt, p, False, both_sides, "digest binary, doc_id bigint").distinct())
+    new = durable(near.join(full, "digest", "left_anti"))
+    sets = full.join(near.select("digest"), "digest", "left_semi")
+    if not new.isEmpty():
+        sets = sets.union(_sets_of(new, docs, p))
+    heavy = named.join(sets.withColumnRenamed("shingles", "values"), "digest")
+
+    def links(block, row, fit):
+        linked = np.flatnonzero(fit)
+        for i in np.unique(block.label[linked], return_index=True)[1]:
+            yield row[1], int(block.rep[linked[i]])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return _ask(_blocks(heavy, "n", p.block), p, True, links, "a bigint, b bigint").distinct()
 
 
 def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -276,9 +326,10 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
         lists_.join(hubs, "value").where("digest <> hub.digest").where(_fits("n", "hub.n", p))
         .select(F.col("hub.digest").alias("da"), F.col("hub.rep").alias("a"), F.col("digest").alias("db"), F.col("rep").alias("b")).distinct()
     )
-    edges = durable(_verified(pairs, classes, docs, p).union(tied))
+    found, full = _verified(pairs, classes, docs, p)
+    edges = durable(found.union(tied))
     labels = connected_components(edges)
-    more = durable(_probed(lists_, hubs, labels, docs, p))
+    more = durable(_probed(lists_, hubs, labels, classes, docs, full, p))
     if not more.isEmpty():
         labels = connected_components(edges.union(more))
     label_of = _named(classes.select("digest", "rep"), labels).select("digest", F.col("label").alias("component"))
