@@ -33,14 +33,14 @@ class NearDup:
     """shingle: words of a shingle. percent: least 100 * intersection / union of a link.
 
     keep: retained values of a set. overlap: retained values that linked sets share at least; at 0.8 the
-    chance to share fewer than 10 of 24 is 7 in a million. block: shingles of the members that one
+    chance to share fewer than 20 of 40 is 6 in a million. block: shingles of the members that one
     task holds at a time.
     """
 
     shingle: int = 5
     percent: int = 80
-    keep: int = 24
-    overlap: int = 10
+    keep: int = 40
+    overlap: int = 20
     block: int = 1 << 17
 
 
@@ -127,7 +127,7 @@ def _fits(a: str, b: str, p: NearDup):
 
 def _sets_of(wanted: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
     """(digest, shingles) of the wanted classes (digest, doc_id), from the texts of those documents alone."""
-    sets = durable(full_sets(docs.join(wanted, "doc_id").select("digest", "text"), p))
+    sets = durable(full_sets(docs.join(wanted.hint("merge"), "doc_id").select("digest", "text"), p))
     if sets.groupBy("digest").count().where("count > 1").isEmpty():  # no repeated rows: nothing to shuffle
         return sets
     return durable(sets.dropDuplicates(["digest"]))
@@ -163,7 +163,7 @@ class _Block:
         self.digest, self.rep, self.label, self.n, self.sets = zip(*rows)
         self.rep, self.label, self.n = (np.array(x, dtype=np.int64) for x in (self.rep, self.label, self.n))
         self.low = self._index([s[: p.keep] for s in self.sets])
-        self.all = None
+        self.all, self.told = None, np.zeros(len(rows), dtype=bool)
 
     @staticmethod
     def _index(sets: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,8 +274,9 @@ def _probed(lists_: DataFrame, hubs: DataFrame, labels: DataFrame, classes: Data
 
     def both_sides(block, row, fit):
         yield row[0], row[1]
-        for i in np.flatnonzero(fit):
-            yield block.digest[i], block.rep[i]
+        for i in np.flatnonzero(fit & ~block.told):
+            yield block.digest[i], int(block.rep[i])
+        block.told |= fit
 
     dealt = _blocks(light.withColumn("one", F.lit(1)), "one", p.block // p.keep)
     near = durable(_ask(dealt, p, False, both_sides, "digest binary, doc_id bigint").distinct())
