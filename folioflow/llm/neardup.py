@@ -266,11 +266,14 @@ def _probed(lists_: DataFrame, hubs: DataFrame, labels: DataFrame, classes: Data
     First by sketches alone, which tells who can be linked at all; full sets are made for those only, and
     only where full has none yet.
     """
-    hub_label = _named(hubs.select("value", F.col("hub.rep").alias("rep")), labels).select("value", F.col("label").alias("home"))
-    named = _named(lists_.select("value", "digest", "rep", "n"), labels).join(hub_label, "value").select("home", "digest", "rep", "n", "label").distinct()
+    hub_label = _named(hubs.where("m > 2").select("value", F.col("hub.digest").alias("hub_digest"), F.col("hub.rep").alias("rep")), labels)
+    hub_label = hub_label.select("value", "hub_digest", F.col("label").alias("home"))
+    # hubs have been held against their lists; other members can be linked only where they differ still
+    named = durable(_named(lists_.select("value", "digest", "rep", "n").join(hub_label, "value").where("digest <> hub_digest"), labels))
+    mixed = named.groupBy("value").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("value")
+    named = named.join(mixed, "value").select("home", "digest", "rep", "n", "label").distinct()
     named = durable(named.withColumn("apart", F.col("home") != F.col("label")))
-    some = named.groupBy("home").agg(F.max("apart").alias("any")).where("any").select("home")
-    light = named.join(some, "home").join(classes.select("digest", F.col("sketch").alias("values")), "digest")
+    light = named.join(classes.select("digest", F.col("sketch").alias("values")), "digest")
 
     def both_sides(block, row, fit):
         yield row[0], row[1]
