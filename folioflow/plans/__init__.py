@@ -1 +1 @@
-
+"""Queries by name."""

@@ -1,4 +1,289 @@
-"""Queries by name, and their SQL."""
+"""Queries by name over the driver's tables, and DuckDB SQL for those that SQL can express."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import sources, streaming
+from ..functions import text as T
+from ..operators import consolidation, extraction, masking, pages, segments, validation
+from .sql import ORACLE_SQL  # noqa: F401  part of the registry
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _docs(spark, sf_dir):
+    return sources.documents(spark, sf_dir)
+
+
+def _regions(spark, sf_dir):
+    return pages.regions(pages.strip_artifacts(pages.lines(sources.letters(spark, sf_dir))))
+
+
+def _fields(spark, sf_dir):
+    return extraction.extract_by_rule(_regions(spark, sf_dir))
+
+
+def _validated(spark, sf_dir):
+    return validation.validate(validation.with_targets(_fields(spark, sf_dir), sources.letters(spark, sf_dir)))
+
+
+def _tokens(spark, sf_dir):
+    return masking.assign_tokens(masking.maskable(masking.detect(_docs(spark, sf_dir))))
+
+
+@query
+def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", pages.quality(F.col("text")).alias("q")).select("doc_id", "q.*")
+
+
+@query
+def source_select(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", "page_number", F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 10)).otherwise(F.col("text")).alias("native_text"), F.when(F.col("doc_id") % 6 == 0, F.col("text")).otherwise(" ").alias("ocr_text"))
+    out = pages.select_source(rows)
+    return out.groupBy("source_type").agg(F.count("*").alias("n"), F.sum(F.length("selected_text")).alias("chars"))
+
+
+@query
+def ligature_fix(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.fix_ligatures(F.concat(F.lit("ﬁ“x”—…• ­"), F.regexp_replace("text", "fi", "ﬁ")))).alias("fixed"))
+
+
+@query
+def whitespace_norm(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.normalize_space(F.replace("text", F.lit("."), F.lit(".  \n\n\n")))).alias("x"))
+
+
+@query
+def hyphen_repair(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.join_hyphens(F.regexp_replace("text", "the", "th-\n e"))).alias("x"))
+
+
+@query
+def ocr_noise(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.remove_noise(F.replace("text", F.lit("on"), F.lit("→ ☃on")))).alias("x"))
+
+
+@query
+def unicode_nfc(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.nfc(F.replace("text", F.lit("e"), F.lit("é")))).alias("x"))
+
+
+@query
+def cleaned_text(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.clean(F.col("text")).alias("cleaned"))
+
+
+@query
+def est_tokens(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.estimated_tokens(F.col("text")).alias("tokens"))
+
+
+@query
+def artifact_strip(spark, sf_dir):
+    return pages.strip_artifacts(pages.lines(sources.letters(spark, sf_dir))).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("line_no").alias("last"))
+
+
+@query
+def region_islands(spark, sf_dir):
+    return _regions(spark, sf_dir)
+
+
+@query
+def region_counts(spark, sf_dir):
+    return _regions(spark, sf_dir).groupBy("region_type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query
+def document_regions(spark, sf_dir):
+    found = pages.regions(pages.strip_artifacts(pages.lines(_docs(spark, sf_dir))))
+    return pages.normalized_pages(_docs(spark, sf_dir), found).select("doc_id", F.md5("plain_text").alias("plain"), "has_table", "has_key_value")
+
+
+@query
+def kv_extract(spark, sf_dir):
+    return _fields(spark, sf_dir).select("doc_id", "field_name", "value")
+
+
+@query
+def kv_dedupe(spark, sf_dir):
+    return extraction.distinct_lines(_regions(spark, sf_dir)).select("doc_id", F.size("lines").alias("n"), F.array_join("lines", "|").alias("lines"))
+
+
+@query
+def heading_asof(spark, sf_dir):
+    return extraction.nearest_heading(_regions(spark, sf_dir)).select("doc_id", "region_idx", "section_header")
+
+
+@query
+def pii_spans(spark, sf_dir):
+    return masking.detect(_docs(spark, sf_dir)).groupBy("doc_id", "entity_type", "value").agg(F.count("*").alias("n"))
+
+
+@query
+def mask_summary(spark, sf_dir):
+    return masking.summary(masking.mask_entries(_tokens(spark, sf_dir)))
+
+
+@query
+def mask_tokens(spark, sf_dir):
+    return masking.mask_entries(_tokens(spark, sf_dir)).select("doc_id", "mask_token", "original_value")
+
+
+@query
+def masked_text(spark, sf_dir):
+    return masking.masked_pages(_docs(spark, sf_dir), _tokens(spark, sf_dir)).where("entities_masked > 0").select("doc_id", "entities_masked", "masked_text")
+
+
+@query
+def rehydrate_roundtrip(spark, sf_dir):
+    tokens = _tokens(spark, sf_dir)
+    masked = masking.masked_pages(_docs(spark, sf_dir), tokens).select("doc_id", "masked_text")
+    back = masking.rehydrated(masked, masking.mask_entries(tokens), "masked_text")
+    return back.select("doc_id", F.md5("masked_text").alias("x"))
+
+
+@query
+def segment_pack(spark, sf_dir):
+    rows = sources.conversations(spark, sf_dir)
+    return segments.prompts(segments.segment(pages.regions(pages.strip_artifacts(pages.lines(rows))), segments.Budget(300, 20)))
+
+
+@query
+def alias_map(spark, sf_dir):
+    mapped = extraction.map_targets(_fields(spark, sf_dir))
+    return mapped.groupBy("target").agg(F.count("*").alias("n"))
+
+
+@query
+def fuzzy_map(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.element_at(F.array(*map(F.lit, ("Paymnt Terms", "Billing Metod", "Scope of Wrk", "Weather"))), (F.col("p_partkey") % 4 + 1).cast("int")).alias("field_name"))
+    return extraction.map_targets(parts, closed=False).groupBy("field_name", "target").agg(F.count("*").alias("n"))
+
+
+@query
+def normalised_values(spark, sf_dir):
+    rows = extraction.normalize_values(extraction.map_targets(_fields(spark, sf_dir).withColumn("evidence", F.lit(""))))
+    return rows.groupBy("target", "value").agg(F.count("*").alias("n"))
+
+
+@query
+def start_desc_norm(spark, sf_dir):
+    raw = F.element_at(F.array(*map(F.lit, ("Within ten business days of the invoice", "no later than 30 days from invoice", "from the invoice date", "upon receipt", "see annex"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(extraction.payment_start(raw, F.lit("")).alias("label"))
+    return rows.groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query
+def field_parse_json(spark, sf_dir):
+    answer = json.dumps({"fields": [{"field": "Fee", "value": " 10 ", "confidence": 1.7}, {"field": "", "value": "x"}, {"field": "Due", "value": "N/A"}, {"field": "Term", "value": "30 days", "evidence": "e"}]})
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderkey") % 7 == 0, "broken {").otherwise(answer).alias("response"))
+    return extraction.parse_fields(rows).groupBy("field_name", "value", "confidence", "evidence").agg(F.count("*").alias("n"))
+
+
+@query
+def fallback_trigger(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.lit("seg_001").alias("segment_id"))
+    segs = o.withColumns({"text": F.lit("A: 1\nB: 2\nC: 3\nD: 4"), "is_key_value_block": F.col("doc_id") % 2 == 0})
+    found = o.where("doc_id % 3 <> 0").withColumn("confidence", F.when(F.col("doc_id") % 5 == 0, 0.5).otherwise(0.9)).withColumn("_", F.explode(F.sequence(F.lit(1), (F.col("doc_id") % 3).cast("int"))))
+    return extraction.needs_fallback(segs, found).select("doc_id", "fallback")
+
+
+@query
+def cost_summary(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.concat(F.lit("model-"), (F.col("o_orderkey") % 3).cast("string")).alias("model_used"), (F.col("o_orderkey") % 1000).alias("prompt_tokens"),
+        (F.col("o_orderkey") % 100).alias("completion_tokens"), F.when(F.col("o_orderkey") % 50 == 0, "timeout").alias("error"),
+    )
+    out = extraction.usage(rows)
+    return out.withColumn("models_used", F.array_join("models_used", ","))
+
+
+@query
+def field_checks(spark, sf_dir):
+    rows = validation.check_fields(_fields(spark, sf_dir))
+    return rows.groupBy("is_valid", "should_flag", "check_reason").agg(F.count("*").alias("n"))
+
+
+@query
+def grounding(spark, sf_dir):
+    fields = _fields(spark, sf_dir).withColumn("value", F.when(F.col("doc_id") % 4 == 0, F.upper("value")).when(F.col("doc_id") % 4 == 1, F.concat(F.col("value"), F.lit(" zz"))).otherwise(F.col("value")))
+    rows = validation.with_targets(fields, sources.letters(spark, sf_dir)).select(validation.ground(F.col("value"), F.col("targets")).alias("g"))
+    return rows.groupBy("g.is_grounded", "g.match_type", "g.matched_in", "g.penalty").agg(F.count("*").alias("n"))
+
+
+@query
+def validate_status(spark, sf_dir):
+    return _validated(spark, sf_dir).select("doc_id", "field_name", "validation_status", "rejection_reason")
+
+
+@query
+def validation_report(spark, sf_dir):
+    return validation.report(_validated(spark, sf_dir), "field_name")
+
+
+@query
+def consolidated_fields(spark, sf_dir):
+    return consolidation.consolidate(_validated(spark, sf_dir)).select("doc_id", "name_key", "field_name", "value", "occurrence_count", "has_conflict")
+
+
+@query
+def consolidation_summary(spark, sf_dir):
+    rows = _validated(spark, sf_dir).withColumn("doc_id", F.col("doc_id") % 100)
+    return consolidation.summary(consolidation.consolidate(rows))
+
+
+@query
+def name_canonical(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat(F.col("p_name"), F.lit(" usd amount (tax id):")).alias("x"))
+    return rows.select("p_partkey", consolidation.name_key(F.col("x")).alias("name_key"), consolidation.display_name(F.regexp_replace("x", ":+$", "")).alias("display"))
+
+
+def _candidates(spark, sf_dir):
+    key = F.col("o_orderkey")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_custkey").alias("doc_id"), F.format_string("cand_%09d", key).alias("candidate_id"), F.col("o_orderpriority").alias("candidate_name"), F.col("o_orderstatus").alias("value"),
+        F.array((key % 9).cast("int")).alias("page_numbers"), F.element_at(F.array(*map(F.lit, ("KEEP", "KEEP", "MERGE", "REJECT", "REVIEW"))), (key % 5 + 1).cast("int")).alias("decision"),
+        F.col("o_orderpriority").alias("suggested_canonical_name"),
+    )
+
+
+@query
+def tier_collapse(spark, sf_dir):
+    out = consolidation.collapse_candidates(_candidates(spark, sf_dir))
+    return out.withColumn("page_numbers", F.array_join("page_numbers", ","))
+
+
+@query
+def tier_audit(spark, sf_dir):
+    return consolidation.collapse_audit(_candidates(spark, sf_dir)).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query
+def tier_decisions(spark, sf_dir):
+    return consolidation.decision_counts(_candidates(spark, sf_dir))
+
+
+@query
+def tier_canonical(spark, sf_dir):
+    out = consolidation.canonical_fields(_candidates(spark, sf_dir))
+    return out.select("doc_id", "canonical_field_name", "value", "status", F.array_join("source_candidate_ids", ",").alias("sources"), F.array_join("page_numbers", ",").alias("pages"))
+
+
+@query
+def ui_filter(spark, sf_dir):
+    rows = consolidation.marked(consolidation.consolidate(_validated(spark, sf_dir)))
+    return consolidation.search(rows, "FEE").select("doc_id", "field_name", "short_value", "band")
+
+
+@query
+def event_windows(spark, sf_dir):
+    return streaming.windows(spark.read.parquet(f"{sf_dir}/events.parquet")).select("window_start", "event_type", "n", F.round("total", 4).alias("total"))

@@ -1 +1,79 @@
+"""Reading documents as pages, and writing results."""
 
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+PAGES = "doc_id string, page_number int, native_text string, ocr_text string"
+
+
+def read_files(spark: SparkSession, path: str, decode: Callable[[bytes], list[tuple[str, str]]], glob: str = "*.[pP][dD][fF]") -> DataFrame:
+    """One row per page of each file: decode(content) gives (native_text, ocr_text) by page.
+
+    A page whose recognition fails should come with an empty ocr_text. No file is an error, as with any path.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]):
+        for pdf in batches:
+            rows = []
+            for name, content in zip(pdf.path, pdf.content):
+                stem = name.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                rows.extend((stem, i, a or "", b or "") for i, (a, b) in enumerate(decode(bytes(content)), 1))
+            yield pd.DataFrame(rows, columns=["doc_id", "page_number", "native_text", "ocr_text"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInPandas(run, PAGES)
+
+
+def first_file(spark: SparkSession, path: str, glob: str = "*.[pP][dD][fF]") -> DataFrame:
+    """(path) of the first file by name."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path").orderBy("path").limit(1)
+
+
+def plain_text(content: bytes) -> list[tuple[str, str]]:
+    """The default decoder: UTF-8 text, pages divided by form feeds."""
+    return [(page, "") for page in content.decode("utf-8", errors="replace").split("\f")]
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as one-page documents."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(1).alias("page_number"), "text")
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as documents of a page for each turn."""
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_number"), "text")
+
+
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as structured letters: a heading, labelled lines, a sentence, and a page number."""
+    orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    rows = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    key = F.col("o_orderkey")
+    term = F.when(key % 4 == 0, F.concat((key % 90 + 1).cast("string"), F.lit(" business days"))).when(key % 4 == 1, "thirty days").when(key % 4 == 2, "upon receipt").otherwise("N/A")
+    fee = F.when(key % 5 == 0, "flat fee").when(key % 5 == 1, "hourly rates, not to exceed budget").when(key % 5 == 2, "monthly retainer").when(key % 5 == 3, "milestone and lump sum").otherwise("as agreed between both parties in writing")
+    text = F.concat_ws(
+        "\n", F.lit("ORDER CONFIRMATION"), F.lit(""), F.concat(F.lit("Order Key: "), key.cast("string")), F.concat(F.lit("Client Name: "), F.col("c_name")),
+        F.concat(F.lit("Payment Terms: "), term), F.concat(F.lit("Fee Type: "), fee), F.lit("Page 7 : ignored"), F.lit(""),
+        F.concat(F.lit("this letter confirms the order of "), F.col("c_name"), F.lit(" in segment "), F.col("c_mktsegment")), F.lit("and its priority "), F.lit(""), F.lit("Page 1 of 1"),
+    )
+    return rows.select(key.alias("doc_id"), F.lit(1).alias("page_number"), text.alias("text"))
+
+
+def write_masks(entries: DataFrame, path: str) -> None:
+    """Token maps by document, as JSON; the folder holds original values and should be private."""
+    entries.write.mode("overwrite").partitionBy("doc_id").json(path)
+
+
+def read_masks(spark: SparkSession, path: str) -> DataFrame:
+    """Token maps written by write_masks, with each token's number."""
+    return spark.read.json(path).withColumn("n", F.regexp_extract("mask_token", r"_(\d+)\]$", 1).cast("int"))
+
+
+def write_sheets(sheets: dict[str, DataFrame], path: str) -> None:
+    for name, df in sheets.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name.replace(' ', '_').lower()}")
