@@ -27,7 +27,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^S\p{L}\p{N}]+|[S]+(?![^S
 #: A unit: no split ever crosses from other characters to white space.
 UNIT = re.compile("[S]*[^S]+|[S]+".replace("S", SPACES))
 #: Units whose ids a worker keeps; beyond, it starts anew.
-KEPT_UNITS = 400_000
+KEPT_UNITS = 1_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -48,8 +48,8 @@ class IdStore:
         self.forget()
 
     def forget(self) -> None:
-        self.units: dict[str, int] = {}
-        self.words: dict[str, int] = {}
+        self.units = _Places()
+        self.words = _Places()
         self.of_unit = _Ragged(np.int32)
         self.of_word = _Ragged(np.int32)
 
@@ -57,20 +57,25 @@ class IdStore:
         """The ids of all units in one array, and how many each has."""
         if len(self.units) > self.limit or len(self.words) > self.limit:
             self.forget()
-        new = [u for u in dict.fromkeys(units) if u not in self.units]
-        if new:
-            words, counts = self.words_of(new)
-            fresh = [w for w in dict.fromkeys(words) if w not in self.words]
-            if fresh:
-                flat, sizes = self.ids_of(fresh)
-                self.words.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh))))
-                self.of_word.extend(flat, sizes)
-            flat, sizes = self.of_word.gather(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
-            counts = np.array(counts, dtype=np.int64)
-            ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(counts)]
-            self.units.update(zip(new, range(len(self.units), len(self.units) + len(new))))
-            self.of_unit.extend(flat, np.diff(ends, prepend=0))
-        return self.of_unit.gather(np.fromiter(map(self.units.__getitem__, units), np.int64, len(units)))
+        places = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
+        unknown = np.flatnonzero(places < 0)
+        if len(unknown):
+            missing = [units[i] for i in unknown.tolist()]
+            self._learn(list(dict.fromkeys(missing)))
+            places[unknown] = np.fromiter(map(self.units.__getitem__, missing), np.int64, len(missing))
+        return self.of_unit.gather(places)
+
+    def _learn(self, new: list[str]) -> None:
+        words, counts = self.words_of(new)
+        fresh = list(dict.fromkeys(w for w in words if w not in self.words))
+        if fresh:
+            flat, sizes = self.ids_of(fresh)
+            self.words.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh))))
+            self.of_word.extend(flat, sizes)
+        flat, sizes = self.of_word.gather(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(np.array(counts, dtype=np.int64))]
+        self.units.update(zip(new, range(len(self.units), len(self.units) + len(new))))
+        self.of_unit.extend(flat, np.diff(ends, prepend=0))
 
     def of_texts(self, per_text: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts given as lists of units, in one array, and how many each text has."""
@@ -79,6 +84,13 @@ class IdStore:
         return ids, np.diff(ends)
 
 
+class _Places(dict):
+    """A number for each key; -1 for unknown ones."""
+
+    def __missing__(self, key: str) -> int:
+        return -1
+
+
 class _Ragged:
     """Lists of numbers end to end, grown by doubling."""
 

@@ -138,13 +138,18 @@ class UnitIds:
         self.store = IdStore(self._words, self._ids)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+    def _holds_special(self, words: list[str]) -> bool:
+        joined = " ".join(words)
+        return any(s in joined for s in self.special)
+
     def _words(self, units: list[str]) -> tuple[list[str], list[int]]:
         """A letter is never joined to a full stop or comma after it, and A-Z are lower-cased anyway."""
         words, counts = [], []
+        special = self._holds_special(units)
         for u in units:
             tail = u[-1:] in (".", ",") and u[-2:-1].isalpha()
             core = u[:-1] if tail else u
-            if core.isascii() and not any(s in core for s in self.special):
+            if core.isascii() and not (special and any(s in core for s in self.special)):
                 core = core.lower()
             words.append(core)
             if tail:
@@ -155,9 +160,9 @@ class UnitIds:
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each word. Most go through the library as one text, divided by a mark that they don't hold."""
         out: list = [None] * len(words)
-        plain = []
+        plain, special = [], self._holds_special(words)
         for i, u in enumerate(words):
-            if MARK in u or any(s in u for s in self.special):
+            if MARK in u or (special and any(s in u for s in self.special)):
                 out[i] = np.array(self.tokenizer.encode(u, add_special_tokens=False).ids, dtype=np.int32)
             else:
                 plain.append(i)
