@@ -27,6 +27,8 @@ BLOCK_IDS = 6_000_000
 WORTH_A_CUT = 16
 #: A digit: a token of its own wherever it stands, that no other text gives.
 MARK = "0"
+#: What str.split() takes for white space, but Unicode and tokenizers don't.
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"
 _UNIT = re.compile("[^S]+".replace("S", SPACES))
 
 
@@ -136,6 +138,9 @@ class UnitIds:
             raise ValueError("the mark must be one token")
         self.mark = mark[1]
         self.store = IdStore(self._words, self._ids)
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _holds_special(self, words: list[str]) -> bool:
@@ -166,6 +171,18 @@ class UnitIds:
                 out[i] = np.array(self.tokenizer.encode(u, add_special_tokens=False).ids, dtype=np.int32)
             else:
                 plain.append(i)
+        # a word of letters alone is one run of tokens, of which the last alone ends a word
+        letters = [i for i in plain if words[i].isalpha()]
+        plain = [i for i in plain if not words[i].isalpha()]
+        for a in range(0, len(letters), 500):
+            some = letters[a : a + 500]
+            joined = np.array(self.tokenizer.encode(" ".join([words[i] for i in some]), add_special_tokens=False).ids, dtype=np.int32)
+            ends = np.flatnonzero(self.ends_word[joined])
+            if len(ends) != len(some):  # some letter is more than that in lower case
+                plain.extend(some)
+                continue
+            for i, x, y in zip(some, np.concatenate(([0], ends[:-1] + 1)).tolist(), (ends + 1).tolist()):
+                out[i] = joined[x:y]
         for a in range(0, len(plain), 500):
             some = plain[a : a + 500]
             joined = self.tokenizer.encode(f" {MARK} ".join([words[i] for i in some]) + f" {MARK}", add_special_tokens=False).ids
@@ -179,7 +196,7 @@ class UnitIds:
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, each text's followed by end, and how many each has."""
-        ids, counts = self.store.of_texts([_UNIT.findall(t) for t in texts])
+        ids, counts = self.store.of_texts([_UNIT.findall(t) if any(c in t for c in _NOT_SPACE) else t.split() for t in texts])
         return np.insert(ids, np.cumsum(counts), end).astype(np.uint32), counts + 1
 
 
