@@ -27,7 +27,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^S\p{L}\p{N}]+|[S]+(?![^S
 #: A unit: no split ever crosses from other characters to white space.
 UNIT = re.compile("[S]*[^S]+|[S]+".replace("S", SPACES))
 #: Units whose ids a worker keeps; beyond, it starts anew.
-KEPT_UNITS = 1_000_000
+KEPT_UNITS = 500_000
 
 
 def byte_letters() -> dict[int, str]:

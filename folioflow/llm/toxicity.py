@@ -137,7 +137,7 @@ class _Weights(dict):
     def __missing__(self, word: str) -> float:
         get = self.features.get
         value = sum(get(f, 0.0) for f in word_features(word)) if word[0].isalnum() else np.nan
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = value
         return value
