@@ -45,18 +45,21 @@ class IdStore:
 
     def __init__(self, words_of, ids_of, limit: int = KEPT_UNITS):
         self.words_of, self.ids_of, self.limit = words_of, ids_of, limit
-        self.forget()
+        self.forget_units()
+        self.forget_words()
 
-    def forget(self) -> None:
-        self.units = _Places()
-        self.words = _Places()
-        self.of_unit = _Ragged(np.int32)
-        self.of_word = _Ragged(np.int32)
+    def forget_units(self) -> None:
+        self.units, self.of_unit = _Places(), _Ragged(np.int32)
+
+    def forget_words(self) -> None:
+        self.words, self.of_word = _Places(), _Ragged(np.int32)
 
     def ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all units in one array, and how many each has."""
-        if len(self.units) > self.limit or len(self.words) > self.limit:
-            self.forget()
+        if len(self.units) > self.limit:
+            self.forget_units()
+        if len(self.words) > self.limit:
+            self.forget_words()
         places = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
         unknown = np.flatnonzero(places < 0)
         if len(unknown):

@@ -152,28 +152,36 @@ class UnitIds:
         words, counts = [], []
         special = self._holds_special(units)
         for u in units:
-            tail = u[-1:] in (".", ",") and u[-2:-1].isalpha()
+            tail = u.endswith((".", ",")) and u[-2:-1].isalpha()
             core = u[:-1] if tail else u
             if core.isascii() and not (special and any(s in core for s in self.special)):
                 core = core.lower()
             words.append(core)
             if tail:
                 words.append(u[-1])
-            counts.append(1 + tail)
+                counts.append(2)
+            else:
+                counts.append(1)
         return words, counts
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each word. Most go through the library as one text, divided by a mark that they don't hold."""
-        out: list = [None] * len(words)
-        plain, special = [], self._holds_special(words)
+        special = self._holds_special(words)
+        # a word of letters alone is one run of tokens, of which the last alone ends a word
+        letters, plain, apart = [], [], []
         for i, u in enumerate(words):
-            if MARK in u or (special and any(s in u for s in self.special)):
-                out[i] = np.array(self.tokenizer.encode(u, add_special_tokens=False).ids, dtype=np.int32)
+            if special and any(s in u for s in self.special):
+                apart.append(i)
+            elif u.isalpha():
+                letters.append(i)
+            elif MARK in u:
+                apart.append(i)
             else:
                 plain.append(i)
-        # a word of letters alone is one run of tokens, of which the last alone ends a word
-        letters = [i for i in plain if words[i].isalpha()]
-        plain = [i for i in plain if not words[i].isalpha()]
+        order, flat, sizes = list(apart), [], []
+        for i in apart:
+            flat.append(np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, dtype=np.int32))
+            sizes.append([len(flat[-1])])
         for a in range(0, len(letters), 500):
             some = letters[a : a + 500]
             joined = np.array(self.tokenizer.encode(" ".join([words[i] for i in some]), add_special_tokens=False).ids, dtype=np.int32)
@@ -181,18 +189,26 @@ class UnitIds:
             if len(ends) != len(some):  # some letter is more than that in lower case
                 plain.extend(some)
                 continue
-            for i, x, y in zip(some, np.concatenate(([0], ends[:-1] + 1)).tolist(), (ends + 1).tolist()):
-                out[i] = joined[x:y]
+            order.extend(some)
+            flat.append(joined)
+            sizes.append(np.diff(ends, prepend=-1))
         for a in range(0, len(plain), 500):
             some = plain[a : a + 500]
             joined = self.tokenizer.encode(f" {MARK} ".join([words[i] for i in some]) + f" {MARK}", add_special_tokens=False).ids
             joined = np.array(joined, dtype=np.int32)
-            ends = np.flatnonzero(joined == self.mark)
+            marks = joined == self.mark
+            ends = np.flatnonzero(marks)
             if len(ends) != len(some):
                 raise ValueError("the tokenizer joins words across white space")
-            for i, x, y in zip(some, np.concatenate(([0], ends[:-1] + 1)).tolist(), ends.tolist()):
-                out[i] = joined[x:y]
-        return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
+            order.extend(some)
+            flat.append(joined[~marks])
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+        # back from the order of encoding to that of words
+        flat, sizes = np.concatenate(flat), np.concatenate(sizes).astype(np.int64)
+        place = np.argsort(np.array(order), kind="stable")
+        starts = (np.cumsum(sizes) - sizes)[place]
+        sizes = sizes[place]
+        return flat[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(len(flat))], sizes
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, each text's followed by end, and how many each has."""
