@@ -94,6 +94,25 @@ def test_passages_are_found(spark, corpus):
     assert passages.shared_passages(left).count() == 0
 
 
+def fresh(n, rng):
+    """Words that no other text has."""
+    return [f"w{rng.getrandbits(60):x}" for _ in range(n)]
+
+
+def test_poor_tails_shorten_passages(spark):
+    rng = random.Random(21)
+    rows, want = [], {}
+    for n, far, phrase in [(55, 20, 3), (55, 24, 3), (70, 19, 3), (55, 16, 6), (120, 20, 3)]:
+        for behind in (False, True):
+            passage, common = fresh(n, rng), fresh(phrase, rng)
+            for side in range(2):
+                line = [common, fresh(far, rng), passage] if behind else [passage, fresh(far, rng), common]
+                rows.append((len(rows), " ".join(sum([fresh(30, rng), *line, fresh(30, rng)], []))))
+            want[len(rows) - 1] = (30 + (phrase + far) * behind, 30 + (phrase + far) * behind + n)
+    got = {r.doc_id: (r.start_word, r.end_word) for r in passages.shared_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want
+
+
 def test_chain_prefers_the_diagonal():
     lines = passages.chain([0, 5, 10, 15], [100, 105, 3, 115], 5, 0.1, 30)
     assert lines[0] == [0, 1, 3] and [2] in lines
