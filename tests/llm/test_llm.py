@@ -113,6 +113,29 @@ def test_poor_tails_shorten_passages(spark):
     assert got == want
 
 
+def test_passages_of_parts_from_different_documents_are_found(spark):
+    """Each part alone stands in an earlier document, and again between the two that share the whole."""
+    rng = random.Random(22)
+    rows, want = [], {}
+
+    def add(*parts):
+        rows.append((len(rows), " ".join(sum([fresh(30, rng), *parts, fresh(30, rng)], []))))
+
+    for sizes in [(45, 45), (25, 30, 45), (20, 20, 20), (15, 40, 15, 30), (8,) * 12, (26, 26)] * 3:
+        parts = [fresh(n, rng) for n in sizes]
+        for k in range(3):
+            if k:
+                add(*parts)
+            if k < 2:
+                for part in parts:
+                    add(part)
+        want[len(rows) - 1] = sum(sizes)
+    got = {}
+    for r in passages.shared_passages(spark.createDataFrame(rows, DOCS)).collect():
+        got.setdefault(r.doc_id, set()).add((r.start_word, r.end_word))
+    assert got == {i: {(30, 30 + n)} for i, n in want.items()}
+
+
 def test_chain_prefers_the_diagonal():
     lines = passages.chain([0, 5, 10, 15], [100, 105, 3, 115], 5, 0.1, 30)
     assert lines[0] == [0, 1, 3] and [2] in lines
