@@ -136,6 +136,32 @@ def test_passages_of_parts_from_different_documents_are_found(spark):
     assert got == {i: {(30, 30 + n)} for i, n in want.items()}
 
 
+def test_edited_passages_are_found(spark):
+    rng = random.Random(23)
+    rows, cases = [], {}
+    for share in (5, 10, 15, 20):
+        for n in (50, 55, 60, 80, 100):
+            for even in (False, True):
+                for _ in range(20):
+                    passage = fresh(n, rng)
+                    edited, k = list(passage), n * share // 100
+                    step = n / k
+                    # the first and last words stay, for the passage to be as long as planted
+                    at = [min(n - 2, max(1, int(step * (i + 0.5)))) for i in range(k)] if even else rng.sample(range(1, n - 1), k)
+                    for i in at:
+                        edited[i] = fresh(1, rng)[0]
+                    rows += [(len(rows) + i, " ".join(fresh(30, rng) + p + fresh(30, rng))) for i, p in enumerate((passage, edited))]
+                    cases[len(rows) - 1] = (share, n)
+    got = {}
+    for r in passages.shared_passages(spark.createDataFrame(rows, DOCS)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    lost = Counter(case for i, case in cases.items() if i not in got)
+    print("lost of 40 each, by share of edits and words:", dict(lost))
+    assert set(got) <= set(cases)
+    assert sum(k for (share, _), k in lost.items() if share < 20) == 0
+    assert sum(lost.values()) <= 0.1 * 200  # of those with a fifth of their words changed
+
+
 def test_chain_prefers_the_diagonal():
     lines = passages.chain([0, 5, 10, 15], [100, 105, 3, 115], 5, 0.1, 30)
     assert lines[0] == [0, 1, 3] and [2] in lines
