@@ -188,6 +188,16 @@ def test_quality_equals_brute_force(spark, corpus):
         assert r.dup_gram_chars[0] == sum(len(w[j]) for j in inside)
 
 
+def test_coverage_rejects_beyond_the_base_rule(spark):
+    rng = random.Random(24)
+    sentence, line = fresh(12, rng), fresh(20, rng)
+    repeats = sum(([*fresh(13, rng), *sentence] for _ in range(40)), [])  # 48% of words, all on one line
+    lines = "\n".join([" ".join(fresh(20, rng)) for _ in range(7)] + [" ".join(line)] * 3)
+    rows = [(0, " ".join(repeats)), (1, lines), (2, " ".join(fresh(1000, rng)))]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.repetition_quality(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {0: (False, False), 1: (False, False), 2: (False, True)}
+
+
 def odd_texts():
     rng = random.Random(1)
     out = ["", " ", "a  b\n\n c's DON'T\t\tz\r\n", "<|endoftext|>x<|startoftext|> y", "ﬁ e\u0301 Ⅷ ½ 12 漢字 🙂👍🏽 a\x1cb !\x1c!", "a" * 3000, "İIıſ ẞ Σς.", "0 10 a0b"]
