@@ -3,6 +3,8 @@
 Rolling hashes of several n-gram lengths, in numpy over many texts at once, mark the characters that lie
 inside n-grams and lines a text repeats. A longer n-gram can only be repeated where its shorter prefix
 is, so each length is looked for only where the length before was found: one full sort, then small ones.
+Two kinds of n-grams are measured: of words, and of marks (characters that are no letters, digits or space),
+which catches what is repeated inside words, as markup, drawn lines and shouting are.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,29 +28,25 @@ class RepetitionRules:
     fitted on labelled good documents that pass the base rule: a thousandth of them has more than 0.293 (lines 0.147) on
     the check tool's small table, and none on sf0.1 has more than 0.276 (lines 0.138).
     line_share: largest share of characters inside lines equal to an earlier line.
-    symbols_per_word: most markup symbols to a word; single characters that repeat around every word are
-    not n-grams of words, so they are counted apart.
+    mark_share: marks inside 2-grams of marks, and marks that are words of their own, as a share of all word characters,
+    counted where that 2-gram or word occurs twice or more in the text.
     """
 
     min_words: int = 50
     repeat_percent: int = 50
     ngram_share: tuple[tuple[int, float], ...] = ((5, 0.34), (6, 0.33), (7, 0.32), (8, 0.31), (9, 0.30), (10, 0.30))
     line_share: float = 0.18
-    symbols_per_word: float = 0.25
+    mark_share: float = 0.05
 
 
 SCHEMA = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
-    "base_failed boolean, kept boolean, dup_line_chars bigint, dup_gram_chars array<bigint>"
+    "base_failed boolean, kept boolean, dup_line_chars bigint, dup_gram_chars array<bigint>, dup_mark_chars bigint"
 )
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-
-
-def _sums(flags: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(flags) + 1, dtype=np.int64)
-    np.cumsum(flags, out=out[1:])
-    return out
+#: ASCII characters that are no letters, digits, control characters or space.
+_MARK = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
 
 
 def _twice(keys: np.ndarray) -> np.ndarray:
@@ -72,29 +71,39 @@ def measure(texts: list[bytes], rules: RepetitionRules) -> dict[str, np.ndarray]
     """Counts of each text; see RepetitionRules and SCHEMA."""
     w = Words(texts)
     docs, total = len(texts), len(w.start)
-    points = _sums((w.data & 0xC0) != 0x80)
-    solid = _sums(~w.space & ((w.data & 0xC0) != 0x80))
-    symbols = _sums(_SYMBOL[w.data])
-    last = w.first + w.size
+    chars = w.chars
+    upto = np.concatenate(([0], np.cumsum(chars)))
+    symbols = np.flatnonzero(_SYMBOL[w.data])
     out = {
         "n_words": np.diff(w.bounds),
-        "word_chars": solid[last] - solid[w.first],
-        "n_symbols": symbols[last] - symbols[w.first],
+        "word_chars": upto[w.bounds[1:]] - upto[w.bounds[:-1]],
+        "n_symbols": np.bincount(np.searchsorted(w.first, symbols, side="right") - 1, minlength=docs),
     }
     # lines: the texts are joined by \n, so every line ends at one
     ends = np.flatnonzero(w.data == 10)
     begins = np.concatenate(([0], ends[:-1] + 1))
+    left, right = np.searchsorted(w.start, begins), np.searchsorted(w.start, ends)
+    wordy = right > left
+    ends, begins, solid = ends[wordy], begins[wordy], (upto[right] - upto[left])[wordy]
     owner = np.searchsorted(w.first, begins, side="right") - 1
-    wordy = solid[ends] > solid[begins]
-    ends, begins, owner = ends[wordy], begins[wordy], owner[wordy]
-    keys = mix64(w.prefix.of(begins, ends) + owner.astype(_U) * _U(0x9FB21C651E98DF25))
-    order = np.lexsort((begins, keys))
+    keys = np.fromiter((xxhash.xxh3_64_intdigest(w.raw[a:e]) for a, e in zip(begins.tolist(), ends.tolist())), _U, len(begins))
+    order = np.lexsort((begins, keys, owner))
     again = np.zeros(len(keys), dtype=bool)
-    again[order[1:]] = keys[order][1:] == keys[order][:-1]
+    again[order[1:]] = (keys[order][1:] == keys[order][:-1]) & (owner[order][1:] == owner[order][:-1])
     out["n_dup_lines"] = np.bincount(owner[again], minlength=docs)
-    out["dup_line_chars"] = np.bincount(owner[again], weights=(solid[ends] - solid[begins])[again], minlength=docs).astype(np.int64)
+    out["dup_line_chars"] = np.bincount(owner[again], weights=solid[again], minlength=docs).astype(np.int64)
+    # 2-grams of marks, and marks between spaces
+    marks = _MARK[w.data]
+    pairs = np.flatnonzero(marks[1:] & marks[:-1])
+    alone = w.start[w.end - w.start == 1]
+    alone = alone[marks[alone]]
+    at = np.concatenate((pairs, alone))
+    second = np.concatenate((w.data[pairs + 1], np.zeros(len(alone), np.uint8))).astype(np.int64)
+    owner = np.searchsorted(w.first, at, side="right") - 1
+    again = _twice((owner << 16) | (w.data[at].astype(np.int64) << 8) | second)
+    at = np.unique(np.concatenate((at[again], at[again & (second > 0)] + 1)))
+    out["dup_mark_chars"] = np.bincount(np.searchsorted(w.first, at, side="right") - 1, minlength=docs)
     # n-grams: three words for the base rule, then the longer ones where the shorter repeat
-    chars = points[w.end] - points[w.start]
     salt = mix64(w.doc.astype(_U) + _U(1))
     at = np.flatnonzero(w.doc[2:] == w.doc[:-2]) if total > 2 else np.empty(0, dtype=np.int64)
     gram = grams(w.hash, 3)
@@ -116,7 +125,7 @@ def measure(texts: list[bytes], rules: RepetitionRules) -> dict[str, np.ndarray]
     out["base_failed"] = (out["n_words"] < rules.min_words) | (100 * out["n_repeat_words"] > rules.repeat_percent * out["n_words"])
     room = np.array([s for _, s in rules.ngram_share])[None, :] * out["word_chars"][:, None]
     over = (out["dup_gram_chars"] > room).any(axis=1) | (out["dup_line_chars"] > rules.line_share * out["word_chars"])
-    over |= out["n_symbols"] > rules.symbols_per_word * out["n_words"]
+    over |= out["dup_mark_chars"] > rules.mark_share * out["word_chars"]
     out["kept"] = ~out["base_failed"] & ~over
     return out
 
@@ -126,7 +135,7 @@ def repetition_quality(docs: DataFrame, rules: RepetitionRules = RepetitionRules
 
     Nulls: a null text is empty (no words, base_failed); a null id stays null. Repeated rows are each
     judged. Ties do not arise. An empty table gives an empty result. Other columns are not read. A very
-    long text is handled whole, in one numpy pass over its bytes.
+    long text is handled whole; it costs some numbers for each of its words.
     """
 
     def judge(batches):
@@ -138,6 +147,7 @@ def repetition_quality(docs: DataFrame, rules: RepetitionRules = RepetitionRules
                     part.column(0), *(pa.array(m[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
                     pa.array(m["base_failed"]), pa.array(m["kept"]), pa.array(m["dup_line_chars"], pa.int64()),
                     pa.FixedSizeListArray.from_arrays(pa.array(flat, pa.int64()), len(rules.ngram_share)).cast(pa.list_(pa.int64())),
+                    pa.array(m["dup_mark_chars"], pa.int64()),
                 ],
                 names=[f.split()[0] for f in SCHEMA.split(", ")],
             )
@@ -146,7 +156,11 @@ def repetition_quality(docs: DataFrame, rules: RepetitionRules = RepetitionRules
 
 
 def keep_good(docs: DataFrame, rules: RepetitionRules = RepetitionRules()) -> DataFrame:
-    """The rows of docs that pass, all columns unchanged. Judged in the same pass, so nothing is joined."""
+    """The rows of docs that pass, all columns unchanged. Judged in the same pass, so nothing is joined.
+
+    Rows with a null or empty text fail, as do those with too few words; null ids, repeated rows and further columns of
+    any name are kept as they are. An empty table gives an empty result.
+    """
 
     def keep(batches):
         for part, texts in text_chunks(batches):
