@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TURN, ROLE, PART, END = "<turn>", "</role>", "</part>", "</turn>"
+#: Code points of a part of a formatted conversation, when it is read back.
+PIECE = 1024
 
 
 def escape(text: Column) -> Column:
@@ -29,41 +32,33 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     (ties and repeated rows all stay). Nulls: a null text or role is empty, a null turn comes first, rows
     of a null conv_id are a conversation of their own. An empty table gives an empty result. Columns beside
     conv_id, turn, role and text are not read. A conversation is one value in the end, so its rows meet in
-    one task by nature; they are combined with linear work, however long the texts are.
+    one task by nature. Places are running sums over the turns, so the work is linear in turns (but for
+    sorting them) and in characters.
     """
-    # a row's text is escaped before the shuffle, where long conversations are still spread over tasks
+    # a row's text is escaped and measured before the shuffle, where long conversations are still spread over tasks
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("conv_id", F.struct("turn", "role", "text", escape(F.col("text")).alias("body")).alias("t"))
-    sorted_ = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    n = F.size("ts")
-
-    def piece(t: Column, i: Column) -> Column:
-        before, after = F.get("ts", i - 1), F.get("ts", i + 1)
-        opens = (i == 0) | (before["role"] != t["role"])
-        head = F.when(opens, F.concat(F.lit(TURN), escape(t["role"]), F.lit(ROLE))).otherwise(F.lit(PART))
-        tail = F.when((i == n - 1) | (after["role"] != t["role"]), F.lit(END + "\n")).otherwise(F.lit(""))
-        return F.struct(head.alias("head"), t["body"].alias("body"), tail.alias("tail"), (t["role"] == loss_role).alias("loss"))
-
-    pieces = sorted_.select("conv_id", F.transform("ts", piece).alias("ps"))
-    whole = F.array_join(F.transform("ps", lambda p: F.concat(p["head"], p["body"], p["tail"])), "")
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def step(s: Column, p: Column) -> Column:
-        start = s["at"] + F.length(p["head"])
-        span = F.struct(start.alias("start"), F.length(p["body"]).cast("bigint").alias("length"))
-        return F.struct(
-            (start + F.length(p["body"]) + F.length(p["tail"])).alias("at"),
-            F.when(p["loss"], F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"),
-        )
-
-    loss = F.aggregate("ps", zero, step, lambda s: s["spans"])
-    return pieces.select("conv_id", whole.alias("formatted"), loss.alias("loss"))
+    rows = rows.select("conv_id", "turn", "role", "text", escape(F.col("text")).alias("body")).withColumn("size", F.length("body").cast("bigint"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    opens = ~F.lag("role").over(order).eqNullSafe(F.col("role"))
+    closes = ~F.lead("role").over(order).eqNullSafe(F.col("role"))
+    head = F.when(opens, F.concat(F.lit(TURN), escape(F.col("role")), F.lit(ROLE))).otherwise(F.lit(PART))
+    tail = F.when(closes, F.lit(END + "\n")).otherwise(F.lit(""))
+    rows = rows.withColumns({"head": head, "tail": tail, "place": F.row_number().over(order)})
+    whole = F.length("head") + F.col("size") + F.length("tail")
+    until = F.sum(whole).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("start", until - F.length("tail") - F.col("size"))
+    span = F.when(F.col("role") == loss_role, F.struct("start", F.col("size").alias("length")))
+    pieces = F.sort_array(F.collect_list(F.struct("place", F.concat("head", "body", "tail").alias("x"), span.alias("span"))))
+    return rows.groupBy("conv_id").agg(pieces.alias("ps")).select(
+        "conv_id", F.array_join(F.transform("ps", lambda p: p["x"]), "").alias("formatted"), F.array_compact(F.transform("ps", lambda p: p["span"])).alias("loss")
+    )
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
     """(conv_id, turns, loss_text, formatted_chars) from (conv_id, formatted, loss).
 
-    turns: array of (role, text), merged turns told apart again; loss_text: what the mask covers, unescaped.
+    turns: array of (role, text), merged turns told apart again; loss_text: what the mask covers, unescaped. The work is
+    linear in characters.
     """
     blocks = F.filter(F.split("formatted", END + "\n"), lambda b: F.length(b) > 0)
 
@@ -73,7 +68,18 @@ def read_chats(formatted: DataFrame) -> DataFrame:
         texts = F.split(F.substr(block, at + len(ROLE)), PART)
         return F.transform(texts, lambda x: F.struct(role.alias("role"), unescape(x).alias("text")))
 
-    covered = F.transform("loss", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    # the text under a span is cut from the parts of equal length that hold it, not counted from the text's beginning;
+    # the outer array binds the parts to a name, so they are made once a row
+    def under(whole: Column) -> Column:
+        def cut(span: Column) -> Column:
+            first, last = F.floor(span["start"] / PIECE), F.floor((span["start"] + span["length"]) / PIECE)
+            near = F.array_join(F.slice(whole["parts"], (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+            return unescape(F.substr(near, (span["start"] - first * PIECE + 1).cast("int"), span["length"].cast("int")))
+
+        return F.transform(whole["loss"], cut)
+
+    parts = F.regexp_extract_all("formatted", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+    covered = F.flatten(F.transform(F.array(F.struct(parts.alias("parts"), F.col("loss").alias("loss"))), under))
     return formatted.select(
         "conv_id", F.flatten(F.transform(blocks, turns_of)).alias("turns"), F.array_join(covered, "").alias("loss_text"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
