@@ -3,10 +3,12 @@
 A vector is the sum of one entry of each of several full-dimensional codebooks, fitted to residuals one
 after another and chosen by beam search. Its codes, its norm and the norm of the sum are kept. A query's
 inner products with all entries are one small table; a candidate's score is a few lookups in it, scaled by
-the stored norms. The best candidates of each block are reranked by exact inner products in double precision.
+the stored norms. Each query's best candidates of all are reranked by exact inner products in double precision.
 
-Queries and vectors meet in blocks (a part of the vectors x a part of the queries) of bounded size, dealt
-by the hash of their ids, so the copies of one vector are spread over all blocks.
+Codes meet queries in blocks (a part of the vectors x a part of the queries) of bounded size, dealt by the
+hash of their ids, so the copies of one vector are spread over all blocks. Only codes and norms, some 30 bytes
+a vector, go to all parts of the queries; whole vectors go only where a candidate is reranked, which is a
+bounded number of times a vector, however many there are.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,8 +58,9 @@ class AdditiveQuantiser:
 class Search:
     """sample: most vectors that the codebooks are fitted on (those with the least hashes of their ids).
 
-    books, entries, beam: of the quantiser. rerank: candidates of a block that are reranked exactly, for
-    each query. rows and queries: vectors and queries in a block, about.
+    books, entries (256 at most), beam: of the quantiser. rerank: candidates of a query that are reranked exactly. rows
+    and queries: most vectors and queries in a block of codes; spread: blocks on either side, if there are as many
+    thousands. whole and asking: vectors and queries in a block of exact scores, about.
     """
 
     k: int = 20
@@ -64,9 +68,12 @@ class Search:
     books: int = 20
     entries: int = 128
     beam: int = 4
-    rerank: int = 320
-    rows: int = 8192
-    queries: int = 4096
+    rerank: int = 800
+    rows: int = 1 << 20
+    queries: int = 1 << 16
+    spread: int = 8
+    whole: int = 1 << 14
+    asking: int = 1 << 12
     rounds: int = 8
 
 
@@ -114,38 +121,75 @@ def top(scores: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate((above, np.flatnonzero(scores == least)[: k - len(above)]))
 
 
-def search_block(quantiser: AdditiveQuantiser, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, scale: np.ndarray, qid: np.ndarray, q: np.ndarray, p: Search):
-    """(query, id, score) of each query's best in one block; ids ascending."""
+def search_block(quantiser: AdditiveQuantiser, ids: np.ndarray, codes: np.ndarray, scale: np.ndarray, qid: np.ndarray, q: np.ndarray, keep: int):
+    """(query's place, row, score) of the keep best of each query in one block, by lookups; rows by id and never the query's own."""
     m, k, _ = quantiser.books.shape
-    flat = codes.astype(np.int64) + np.arange(m) * k
-    out = []
-    for a in range(0, len(q), 64):
-        tables = (q[a : a + 64].astype(np.float32) @ quantiser.books.reshape(m * k, -1).T).astype(np.float32)
+    flat = np.ascontiguousarray(codes.T).astype(np.int32) + (np.arange(m, dtype=np.int32) * k)[:, None]
+    books = quantiser.books.reshape(m * k, -1).T
+    step = max(1, (1 << 22) // max(1, len(ids)))
+    for a in range(0, len(q), step):
+        tables = (q[a : a + step].astype(np.float32) @ books).astype(np.float32)
         score = np.zeros((len(tables), len(ids)), dtype=np.float32)
         for j in range(m):
-            score += tables[:, flat[:, j]]
+            score += tables[:, flat[j]]
         score *= scale
         for i in range(len(tables)):
-            near = top(score[i], p.rerank + 1)
-            near = near[ids[near] != qid[a + i]]
-            exact = np.einsum("ij,j->i", x[near], q[a + i])
-            order = np.lexsort((ids[near], -exact))[: p.k]
-            out.append((np.full(len(order), qid[a + i]), ids[near][order], exact[order]))
-    return [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+            row = score[i]
+            row[ids == qid[a + i]] = -np.inf
+            near = top(row, keep)
+            near = near[row[near] > -np.inf]
+            yield a + i, near, row[near]
+
+
+def _parts(n: int, most: int, spread: int) -> int:
+    return max(-(-n // most), min(-(-n // 1024), spread))
+
+
+def _blocks(batches):
+    """Rows of each (part, qpart), whole, from batches sorted by these first two columns."""
+    at, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = (int(keys[0, a]), int(keys[1, a]))
+            if key != at and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            at = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _side(table: pa.Table, side: int) -> dict:
+    rows = table.filter(pa.compute.equal(table.column("side"), side)).combine_chunks()
+    return {n: rows.column(n).combine_chunks() for n in rows.column_names}
+
+
+def _numbered(base: DataFrame) -> DataFrame:
+    """base (id, v) with nth, which tells rows of one id apart."""
+    again = durable(base.groupBy("id").agg(F.count("*").alias("times")).where("times > 1").select("id"))
+    if again.isEmpty():
+        return base.withColumn("nth", F.lit(0))
+    order = F.row_number().over(Window.partitionBy("id").orderBy("v")).cast("int") - 1
+    return base.join(again, "id", "left_anti").withColumn("nth", F.lit(0)).union(base.join(again, "id", "left_semi").withColumn("nth", order))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, p: Search = Search()) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k vectors of largest inner product with each query, but its own.
+    """(query_id, rank, vec_id, score): the k vectors of largest inner product with each query, but those of its id.
 
     vectors and queries: (vec_id, embedding). Nulls: rows with a null id, and vectors that are null, zero,
-    of another length than the most, or hold null or non-finite components, take no part. Ties go to the
-    smaller vec_id; repeated rows of an id count once. An empty table gives an empty result. Columns beside
-    vec_id and embedding are not read.
+    of another length than most of the sample, or hold null or non-finite components, take no part. Ties go to
+    the smaller vec_id; rows of one id each count as candidates, and of queries of one id the least vector
+    asks. An empty table gives an empty result. Columns beside vec_id and embedding are not read.
     """
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     spark = vectors.sparkSession
-    base = _usable(vectors).dropDuplicates(["id"])
-    found = base.orderBy(F.xxhash64("id"), "id").limit(p.sample).select("v").collect()
+    base = _usable(vectors)
+    found = base.orderBy(F.xxhash64("id"), "id", "v").limit(p.sample).select("v").collect()
     if not found:
         return spark.createDataFrame([], schema)
     lengths = [len(r.v) for r in found]
@@ -159,57 +203,85 @@ def nearest(vectors: DataFrame, queries: DataFrame, p: Search = Search()) -> Dat
             codes = quantiser.encode(x, p.beam)
             made = quantiser.decode(codes)
             own, approx = np.sqrt((x * x).sum(axis=1)), np.sqrt((made * made).sum(axis=1))
-            flat = pa.array(codes.reshape(-1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.FixedSizeListArray.from_arrays(flat, m).cast(pa.list_(pa.int16())), pa.array(own / np.maximum(approx, 1e-12))],
-                names=["id", "v", "codes", "scale"],
-            )
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(m), len(x), [None, pa.py_buffer(codes.astype(np.uint8).tobytes())])
+            scale = pa.array((own / np.maximum(approx, 1e-12)).astype(np.float32))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), packed.cast(pa.binary()), scale], names=["id", "v", "nth", "codes", "scale"])
 
     sized = F.size("v") == d
-    index = durable(base.where(sized).mapInArrow(encode, "id bigint, v array<double>, codes array<smallint>, scale double"))
-    asked = durable(_usable(queries).dropDuplicates(["id"]).where(sized))
+    index = durable(_numbered(base.where(sized)).mapInArrow(encode, "id bigint, v array<double>, nth int, codes binary, scale float"))
+    asked = durable(_usable(queries).where(sized).groupBy("id").agg(F.min("v").alias("v")))
     n, nq = index.count(), asked.count()
     if not nq or not n:
         return spark.createDataFrame([], schema)
+    deal = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
     # every vector is in one row part, every query in one query part; each pair of parts is a block
-    parts, qparts = -(-n // p.rows), -(-nq // p.queries)
-    rows = index.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("qpart", F.explode(F.sequence(F.lit(0), F.lit(qparts - 1))))
-    rows = rows.select("part", "qpart", F.lit(0).alias("side"), "id", "v", "codes", "scale")
-    asks = asked.withColumn("qpart", F.pmod(F.xxhash64("id"), F.lit(qparts)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asks = asks.select("part", "qpart", F.lit(1).alias("side"), "id", "v", F.array().cast("array<smallint>").alias("codes"), F.lit(0.0).alias("scale"))
-    dealt = rows.union(asks).repartition(max(1, parts * qparts), "part", "qpart").sortWithinPartitions("part", "qpart", "side", "id")
-
-    def run(batches):
-        at, held = None, []
-        for batch in batches:
-            keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                key = (int(keys[0, a]), int(keys[1, a]))
-                if key != at and held:
-                    yield from answer(held)
-                    held = []
-                at = key
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from answer(held)
-
-    def answer(held):
-        rows = pa.Table.from_batches(held).combine_chunks()
-        side = rows.column("side").to_numpy()
-        own, asked = rows.filter(pa.array(side == 0)).combine_chunks(), rows.filter(pa.array(side == 1)).combine_chunks()
-        if not own.num_rows or not asked.num_rows:
-            return
-        one = lambda t, c: t.column(c).combine_chunks()
-        codes = _matrix(one(own, "codes"), m, np.int16)
-        q, v, s = search_block(
-            quantiser, one(own, "id").to_numpy(), _matrix(one(own, "v"), d), codes, one(own, "scale").to_numpy().astype(np.float32),
-            one(asked, "id").to_numpy(), _matrix(one(asked, "v"), d), p,
-        )
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-    near = dealt.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    parts, qparts = _parts(n, p.rows, p.spread), _parts(nq, p.queries, p.spread)
+    rows = index.select(
+        deal("id", parts).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(qparts - 1))).alias("qpart"), F.lit(0).alias("side"), "id", "nth", "codes", "scale",
+        F.lit(None).cast("array<double>").alias("v"),
+    )
+    asks = asked.select(
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), deal("id", qparts).alias("qpart"), F.lit(1).alias("side"), "id", F.lit(0).alias("nth"),
+        F.lit(None).cast("binary").alias("codes"), F.lit(0.0).cast("float").alias("scale"), "v",
+    )
+    dealt = rows.union(asks).repartition(parts * qparts, "part", "qpart").sortWithinPartitions("part", "qpart", "side", "id", "nth")
+    # of a part's rows, more than its share of the best by far are kept
+    share = p.rerank / parts
+    keep = min(p.rerank, int(share + 6 * np.sqrt(share) + 16))
+
+    def score(batches):
+        for block in _blocks(batches):
+            own, q = _side(block, 0), _side(block, 1)
+            if not len(own["id"]) or not len(q["id"]):
+                continue
+            ids, nth, qid = own["id"].to_numpy(), own["nth"].to_numpy(), q["id"].to_numpy()
+            codes = np.frombuffer(b"".join(own["codes"].to_pylist()), np.uint8).reshape(-1, m)
+            out, size = [], 0
+            for i, near, value in search_block(quantiser, ids, codes, own["scale"].to_numpy(), qid, _matrix(q["v"], d), keep):
+                out.append((np.full(len(near), qid[i]), ids[near], nth[near], value))
+                size += len(near)
+                if size > 1 << 16:
+                    yield told(out)
+                    out, size = [], 0
+            if out:
+                yield told(out)
+
+    def told(out):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "id", "nth", "near"])
+
+    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "id", "nth")
+    near = dealt.mapInArrow(score, "query_id bigint, id bigint, nth int, near float").withColumn("place", F.row_number().over(best))
+    near = durable(near.where(F.col("place") <= p.rerank).select("query_id", "id", "nth"))
+    # exact scores, again by blocks: a vector goes to the blocks that hold a query it is a candidate of
+    parts, qparts = -(-n // p.whole), -(-nq // p.asking)
+    pairs = near.withColumns({"part": deal("id", parts), "qpart": deal("query_id", qparts)})
+    nothing = F.lit(None).cast("array<double>").alias("v")
+    mine = pairs.select("part", "qpart", "id", "nth").distinct().join(index.select("id", "nth", "v"), ["id", "nth"])
+    theirs = pairs.select("part", "qpart", "query_id").distinct().join(asked.withColumnRenamed("id", "query_id"), "query_id")
+    dealt = (
+        mine.select("part", "qpart", F.lit(0).alias("side"), "id", "nth", F.lit(0).cast("bigint").alias("query_id"), "v")
+        .union(theirs.select("part", "qpart", F.lit(1), F.lit(0).cast("bigint"), F.lit(0), "query_id", "v"))
+        .union(pairs.select("part", "qpart", F.lit(2), "id", "nth", "query_id", nothing))
+        .repartition(parts * qparts, "part", "qpart").sortWithinPartitions("part", "qpart", "side", "query_id", "id", "nth")
+    )
+
+    def exact(batches):
+        for block in _blocks(batches):
+            own, q, pair = (_side(block, i) for i in range(3))
+            ids, nth, x, qs = own["id"].to_numpy(), own["nth"].to_numpy(), _matrix(own["v"], d), _matrix(q["v"], d)
+            if len(np.unique(ids)) < len(ids):
+                known = {k: i for i, k in enumerate(zip(ids.tolist(), nth.tolist()))}
+                row = np.array([known[k] for k in zip(pair["id"].to_pylist(), pair["nth"].to_pylist())], dtype=np.int64)
+            else:
+                row = np.searchsorted(ids, pair["id"].to_numpy())
+            asking = np.searchsorted(q["query_id"].to_numpy(), pair["query_id"].to_numpy())
+            for a in range(0, len(row), 1 << 15):
+                value = np.einsum("ij,ij->i", x[row[a : a + (1 << 15)]], qs[asking[a : a + (1 << 15)]])
+                yield pa.RecordBatch.from_arrays(
+                    [pair["query_id"].slice(a, 1 << 15), pair["id"].slice(a, 1 << 15), pair["nth"].slice(a, 1 << 15), pa.array(value)],
+                    names=["query_id", "vec_id", "nth", "score"],
+                )
+
+    done = dealt.mapInArrow(exact, "query_id bigint, vec_id bigint, nth int, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "nth")
+    return done.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
