@@ -253,7 +253,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, p: Search = Search()) -> Dat
     near = dealt.mapInArrow(score, "query_id bigint, id bigint, nth int, near float").withColumn("place", F.row_number().over(best))
     near = durable(near.where(F.col("place") <= p.rerank).select("query_id", "id", "nth"))
     # exact scores, again by blocks: a vector goes to the blocks that hold a query it is a candidate of
-    parts, qparts = -(-n // p.whole), -(-nq // p.asking)
+    parts, qparts = _parts(n, p.whole, p.spread), _parts(nq, p.asking, p.spread)
     pairs = near.withColumns({"part": deal("id", parts), "qpart": deal("query_id", qparts)})
     nothing = F.lit(None).cast("array<double>").alias("v")
     mine = pairs.select("part", "qpart", "id", "nth").distinct().join(index.select("id", "nth", "v"), ["id", "nth"])
@@ -262,19 +262,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, p: Search = Search()) -> Dat
         mine.select("part", "qpart", F.lit(0).alias("side"), "id", "nth", F.lit(0).cast("bigint").alias("query_id"), "v")
         .union(theirs.select("part", "qpart", F.lit(1), F.lit(0).cast("bigint"), F.lit(0), "query_id", "v"))
         .union(pairs.select("part", "qpart", F.lit(2), "id", "nth", "query_id", nothing))
-        .repartition(parts * qparts, "part", "qpart").sortWithinPartitions("part", "qpart", "side", "query_id", "id", "nth")
+        .repartition(parts * qparts, "part", "qpart").sortWithinPartitions("part", "qpart")
     )
 
     def exact(batches):
         for block in _blocks(batches):
             own, q, pair = (_side(block, i) for i in range(3))
-            ids, nth, x, qs = own["id"].to_numpy(), own["nth"].to_numpy(), _matrix(own["v"], d), _matrix(q["v"], d)
-            if len(np.unique(ids)) < len(ids):
-                known = {k: i for i, k in enumerate(zip(ids.tolist(), nth.tolist()))}
-                row = np.array([known[k] for k in zip(pair["id"].to_pylist(), pair["nth"].to_pylist())], dtype=np.int64)
-            else:
-                row = np.searchsorted(ids, pair["id"].to_numpy())
-            asking = np.searchsorted(q["query_id"].to_numpy(), pair["query_id"].to_numpy())
+            x, qs = _matrix(own["v"], d), _matrix(q["v"], d)
+            kind = [("id", np.int64), ("nth", np.int32)]
+            keys, wanted = (np.rec.fromarrays([t["id"].to_numpy(), t["nth"].to_numpy()], dtype=kind) for t in (own, pair))
+            order = np.lexsort((keys.nth, keys.id))
+            ids, repeated = keys.id[order], (keys.id[order][1:] == keys.id[order][:-1]).any()
+            row = order[np.searchsorted(keys[order], wanted) if repeated else np.searchsorted(ids, wanted.id)]
+            order = np.argsort(q["query_id"].to_numpy(), kind="stable")
+            asking = order[np.searchsorted(q["query_id"].to_numpy()[order], pair["query_id"].to_numpy())]
             for a in range(0, len(row), 1 << 15):
                 value = np.einsum("ij,ij->i", x[row[a : a + (1 << 15)]], qs[asking[a : a + (1 << 15)]])
                 yield pa.RecordBatch.from_arrays(
