@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +37,14 @@ class ToxicityModel:
 
 @dataclass(frozen=True)
 class Training:
-    """sample: most documents of each label that are fitted on (those with the least hashes of their ids).
+    """sample: most documents of each label that are fitted on (those with the least hashes of their ids). longest: of each,
+    texts of more characters are left out of the sample, so it is bounded in bytes too; all texts are scored whole.
 
     Fitting on a bounded sample keeps the driver's work the same at every size of the corpus.
     """
 
     sample: int = 3000
+    longest: int = 200_000
     min_documents: int = 4
     rounds: int = 150
     rate: float = 0.25
@@ -122,7 +126,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, usable: Column, how: Tra
         some = rows.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.sample)
         picked = some if picked is None else picked.union(some)
     # 2 * sample rows of two numbers: a proven bound
-    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
+    found = docs.select("doc_id", "text").where(F.length("text") <= how.longest).join(F.broadcast(picked), "doc_id")
     found = found.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "toxic").collect()
     return [r.text for r in found], [r.toxic for r in found]
 
@@ -172,14 +176,17 @@ class Scorer:
         """The sentences of a text with a probability of at or more, by code points."""
         found, words, first, last = [], 0.0, None, 0
         lowered = text.lower()
-        same = len(lowered) == len(text)  # lower-casing can lengthen a text; places are of the lower-cased one then
+        places = None
+        if len(lowered) != len(text):  # lower-casing lengthens some letters: where each code point of the text begins
+            places = list(accumulate((len(c.lower()) for c in text), initial=0))
 
         def close():
             p = 1 / (1 + np.exp(-np.clip(self.model.bias + words, -30, 30)))
             if first is not None and p >= at:
-                found.append({"start": first, "end": last, "score": float(p)})
+                a, b = (first, last) if places is None else (bisect_right(places, first) - 1, bisect_left(places, last))
+                found.append({"start": a, "end": b, "score": float(p)})
 
-        for m in _TOKENS.finditer(lowered if same else text.casefold()):
+        for m in _TOKENS.finditer(lowered):
             value = self.words[m.group()]
             if np.isnan(value):
                 close()
@@ -219,7 +226,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The rows of docs that score under 0.5, all columns unchanged."""
+    """The rows of docs that score under 0.5, all columns unchanged.
+
+    Null and empty texts score the leak and stay, as do null ids; repeated rows are each judged; further columns may have any
+    name. An empty table gives an empty result.
+    """
 
     def run(batches):
         scorer = Scorer(model)
