@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import _U, Words, durable, grams, lists, mix64, text_chunks
+from .common import _U, Words, durable, free_name, grams, lists, mix64, text_chunks
 from .graph import connected_components
 
 
@@ -345,7 +345,8 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
 def keep_one(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, each once; all columns are kept.
 
-    Rows with a null doc_id stay. Of several rows with one doc_id, the one with the least text stays.
+    Rows with a null doc_id stay, as do empty and null texts. Of several rows with one doc_id, the one with the least text
+    stays. Columns may have any names. An empty table gives an empty result.
     """
     found = near_duplicates(docs, p)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
@@ -354,5 +355,6 @@ def keep_one(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     if again.isEmpty():
         return left
     order = Window.partitionBy("doc_id").orderBy("text")
-    once = left.join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
+    nth = free_name(docs.columns, "nth")
+    once = left.join(again, "doc_id", "left_semi").withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*docs.columns)
     return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)
