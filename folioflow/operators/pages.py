@@ -8,33 +8,42 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 
+# How lines of each kind look. The key is the first group of KEY_VALUE's match up to the colon.
 KEY_VALUE = r"(?d)^[A-Z][A-Za-z0-9 /\-()]{1,60}\s*:\s*.+$"
-TABLE_LINE = r"(?d)^.+(\t+|\s{3,}).+$"
-HEADING = r"^([A-Z][A-Z\s\-/]{3,60}|([A-Z][a-z]+\s){1,8}[A-Z][a-z]+)$"
-PAGE_NUMBER = r"(?i)^\s*(page\s+\d+(\s+of\s+\d+)?|-\s*\d+\s*-|\d{1,3})\s*$"
-REFERENCE = r"^[A-Z0-9]{3,20}[-/][A-Z0-9]{2,15}$"
-
-
-def quality(c: Column) -> Column:
-    """struct(usable, char_count, printable_ratio, alpha_ratio, reason), ratios to four digits; the first failing test is the reason."""
-    total = F.length(c)
-    blank = F.length(T.strip(F.coalesce(c, F.lit("")))) == 0
-    printable = F.length(F.regexp_replace(c, r"[\p{Cc}\p{Cs}\p{Co}\p{Cn}]", "")) / total
-    alnum = F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", "")) / total
+TABLE_LINE = r"(?d)^.+(\t{1,}|\s{3,}).+$"
+HEADING = r"^(?:[A-Z][A-Z\s\-/]{3,60}|[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,8})$"
+PAGE_NUMBER = r"(?i)^\s*(?:page\s+\d+\s+of\s+\d+|-\s*\d+\s*-|\d{1,3})\s*$"
+REFERENCE = r"^\s*[A-Z0-9]{3,20}[-/][A-Z0-9]{2,15}\s*$"
+#: Line ends of text, as Unicode has them.
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
+def with_quality(pages: DataFrame, text: str, name: str = "quality") -> DataFrame:
+    """pages with struct(usable, char_count, printable_ratio, alpha_ratio, reason), ratios to four digits; the first failing test is the reason.
+
+    Characters are counted once, in a projection below the one that judges.
+    """
+    c = F.col(text)
+    counted = pages.withColumn("_counted", F.struct(
+        F.length(c).alias("total"), (F.length(T.strip(F.coalesce(c, F.lit("")))) == 0).alias("blank"),
+        F.regexp_count(c, F.lit(r"[\p{Cc}\p{Cs}\p{Co}\p{Cn}]")).alias("hidden"), F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")).alias("alnum"),
+    ))
+    total, blank = F.col("_counted.total"), F.col("_counted.blank")
+    printable, alnum = (total - F.col("_counted.hidden")) / total, F.col("_counted.alnum") / total
     reason = (
         F.when(blank, "empty or whitespace-only text").when(total < 20, "too few characters")
         .when(printable < 0.70, "too few printable characters").when(alnum < 0.40, "too few letters and digits").otherwise("usable")
     )
-    return F.struct(
+    return counted.withColumn(name, F.struct(
         (reason == "usable").alias("usable"), F.when(blank, 0).otherwise(total).alias("char_count"),
         F.when(blank, 0.0).otherwise(F.round(printable, 4)).alias("printable_ratio"), F.when(blank, 0.0).otherwise(F.round(alnum, 4)).alias("alpha_ratio"),
         reason.alias("reason"),
-    )
+    )).drop("_counted")
 
 
 def select_source(pages: DataFrame) -> DataFrame:
     """pages (.., native_text, ocr_text) with quality, selected_text and source_type: native if usable, else ocr, else empty."""
-    q = pages.withColumn("quality", quality(F.col("native_text")))
+    q = with_quality(pages, "native_text")
     ocr = F.length(T.strip(F.coalesce("ocr_text", F.lit("")))) > 0
     return q.withColumns({
         "source_type": F.when(F.col("quality.usable"), "native").when(ocr, "ocr").otherwise("empty"),
@@ -44,7 +53,8 @@ def select_source(pages: DataFrame) -> DataFrame:
 
 def lines(pages: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, page_number, line_no, line), line_no from 0."""
-    return pages.select("doc_id", "page_number", F.posexplode(F.split(F.regexp_replace(text, r"\n$", ""), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")).alias("line_no", "line"))
+    body = F.regexp_replace(text, rf"(?:{LINE_END})\z", "")  # one last line end opens no line
+    return pages.select("doc_id", "page_number", F.posexplode(F.split(body, LINE_END)).alias("line_no", "line"))
 
 
 def strip_artifacts(rows: DataFrame, depth: int = 3) -> DataFrame:
@@ -96,9 +106,26 @@ def regions(rows: DataFrame) -> DataFrame:
 
 
 def normalized_pages(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """One row per page, empty ones too: plain_text, has_table, has_key_value."""
+    """One row per page, empty ones too: all columns of pages with plain_text, has_table, has_key_value."""
     agg = found.groupBy("doc_id", "page_number").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("region_idx", "text"))), lambda s: s["text"]), "\n").alias("plain_text"),
         F.bool_or(F.col("region_type") == "table").alias("has_table"), F.bool_or(F.col("region_type") == "key_value").alias("has_key_value"),
     )
-    return pages.select("doc_id", "page_number").join(agg, ["doc_id", "page_number"], "left").fillna({"plain_text": "", "has_table": False, "has_key_value": False})
+    return pages.join(agg, ["doc_id", "page_number"], "left").fillna({"plain_text": "", "has_table": False, "has_key_value": False})
+
+
+def preprocess(pages: DataFrame, text: str = "selected_text") -> tuple[DataFrame, DataFrame]:
+    """(pages with original_text, cleaned_text, structure and body, the text to go on with; their regions).
+
+    body is the structured text, or the cleaned one where there are no regions. A blank page stays, with empty texts.
+    """
+    blank = F.length(T.strip(F.coalesce(text, F.lit("")))) == 0
+    own = pages.withColumns({"original_text": F.when(blank, "").otherwise(F.col(text)), "cleaned_text": F.when(blank, "").otherwise(T.clean(F.col(text)))})
+    found = regions(strip_artifacts(lines(own, "cleaned_text")))
+    done = normalized_pages(own, found)
+    return done.withColumn("body", F.coalesce(F.nullif("plain_text", F.lit("")), "cleaned_text")), found
+
+
+def page_counts(pages: DataFrame, *keys: str) -> DataFrame:
+    """Pages, and how many hold labelled values and tables."""
+    return pages.groupBy(*keys).agg(F.count("*").alias("pages"), F.count_if("has_key_value").alias("with_key_values"), F.count_if("has_table").alias("with_tables"))

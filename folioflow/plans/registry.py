@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources, streaming
 from ..functions import text as T
-from ..operators import consolidation, extraction, masking, pages, segments, validation
+from ..operators import consolidation, extraction, flow, masking, pages, segments, validation
 from .sql import ORACLE_SQL  # noqa: F401  part of the registry
 
 QUERIES: dict = {}
@@ -33,7 +31,7 @@ def _fields(spark, sf_dir):
 
 
 def _validated(spark, sf_dir):
-    return validation.validate(validation.with_targets(_fields(spark, sf_dir), sources.letters(spark, sf_dir)))
+    return validation.validate(_fields(spark, sf_dir), sources.letters(spark, sf_dir))
 
 
 def _tokens(spark, sf_dir):
@@ -42,12 +40,13 @@ def _tokens(spark, sf_dir):
 
 @query
 def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", pages.quality(F.col("text")).alias("q")).select("doc_id", "q.*")
+    return pages.with_quality(_docs(spark, sf_dir), "text").select("doc_id", "quality.*")
 
 
 @query
 def source_select(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", "page_number", F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 10)).otherwise(F.col("text")).alias("native_text"), F.when(F.col("doc_id") % 6 == 0, F.col("text")).otherwise(" ").alias("ocr_text"))
+    scanned = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), F.col("text").alias("ocr_text"))
+    rows = _docs(spark, sf_dir).withColumnRenamed("text", "native_text").join(scanned, "doc_id", "left")
     out = pages.select_source(rows)
     return out.groupBy("source_type").agg(F.count("*").alias("n"), F.sum(F.length("selected_text")).alias("chars"))
 
@@ -89,7 +88,7 @@ def est_tokens(spark, sf_dir):
 
 @query
 def artifact_strip(spark, sf_dir):
-    return pages.strip_artifacts(pages.lines(sources.letters(spark, sf_dir))).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("line_no").alias("last"))
+    return pages.strip_artifacts(pages.lines(sources.letters(spark, sf_dir))).groupBy("doc_id", "page_number").agg(F.count("*").alias("n"), F.max("line_no").alias("last"))
 
 
 @query
@@ -104,23 +103,28 @@ def region_counts(spark, sf_dir):
 
 @query
 def document_regions(spark, sf_dir):
-    found = pages.regions(pages.strip_artifacts(pages.lines(_docs(spark, sf_dir))))
-    return pages.normalized_pages(_docs(spark, sf_dir), found).select("doc_id", F.md5("plain_text").alias("plain"), "has_table", "has_key_value")
+    done, _ = pages.preprocess(_docs(spark, sf_dir), "text")
+    return done.select("doc_id", F.md5("plain_text").alias("plain"), "has_table", "has_key_value")
+
+
+@query
+def page_structure(spark, sf_dir):
+    return pages.page_counts(pages.normalized_pages(sources.letters(spark, sf_dir), _regions(spark, sf_dir)), "page_number")
 
 
 @query
 def kv_extract(spark, sf_dir):
-    return _fields(spark, sf_dir).select("doc_id", "field_name", "value")
+    return _fields(spark, sf_dir).select("doc_id", "page_number", "field_name", "value")
 
 
 @query
 def kv_dedupe(spark, sf_dir):
-    return extraction.distinct_lines(_regions(spark, sf_dir)).select("doc_id", F.size("lines").alias("n"), F.array_join("lines", "|").alias("lines"))
+    return extraction.distinct_lines(_regions(spark, sf_dir)).select("doc_id", "page_number", F.size("lines").alias("n"), F.array_join("lines", "|").alias("lines"))
 
 
 @query
 def heading_asof(spark, sf_dir):
-    return extraction.nearest_heading(_regions(spark, sf_dir)).select("doc_id", "region_idx", "section_header")
+    return extraction.nearest_heading(_regions(spark, sf_dir)).select("doc_id", "page_number", "region_idx", "section_header")
 
 
 @query
@@ -140,7 +144,7 @@ def mask_tokens(spark, sf_dir):
 
 @query
 def masked_text(spark, sf_dir):
-    return masking.masked_pages(_docs(spark, sf_dir), _tokens(spark, sf_dir)).where("entities_masked > 0").select("doc_id", "entities_masked", "masked_text")
+    return masking.masked_pages(_docs(spark, sf_dir), _tokens(spark, sf_dir)).select("doc_id", "entities_masked", F.md5("masked_text").alias("masked_text"))
 
 
 @query
@@ -148,7 +152,7 @@ def rehydrate_roundtrip(spark, sf_dir):
     tokens = _tokens(spark, sf_dir)
     masked = masking.masked_pages(_docs(spark, sf_dir), tokens).select("doc_id", "masked_text")
     back = masking.rehydrated(masked, masking.mask_entries(tokens), "masked_text")
-    return back.select("doc_id", F.md5("masked_text").alias("x"))
+    return back.select("doc_id", F.md5("masked_text").alias("x"), "is_rehydrated")
 
 
 @query
@@ -165,8 +169,10 @@ def alias_map(spark, sf_dir):
 
 @query
 def fuzzy_map(spark, sf_dir):
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.element_at(F.array(*map(F.lit, ("Paymnt Terms", "Billing Metod", "Scope of Wrk", "Weather"))), (F.col("p_partkey") % 4 + 1).cast("int")).alias("field_name"))
-    return extraction.map_targets(parts, closed=False).groupBy("field_name", "target").agg(F.count("*").alias("n"))
+    """Names of parts and labels of letters, each but for its last letter: what no alias has."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("field_name"))
+    labels = _fields(spark, sf_dir).select(F.expr("left(field_name, length(field_name) - 1)").alias("field_name"))
+    return extraction.map_targets(parts.union(labels), closed=False).groupBy("field_name", "target").agg(F.count("*").alias("n"))
 
 
 @query
@@ -176,34 +182,38 @@ def normalised_values(spark, sf_dir):
 
 
 @query
-def start_desc_norm(spark, sf_dir):
-    raw = F.element_at(F.array(*map(F.lit, ("Within ten business days of the invoice", "no later than 30 days from invoice", "from the invoice date", "upon receipt", "see annex"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(extraction.payment_start(raw, F.lit("")).alias("label"))
-    return rows.groupBy("label").agg(F.count("*").alias("n"))
+def field_parse_json(spark, sf_dir):
+    """Labelled values written as an extractor's answer for each page, and read back."""
+    answer = F.to_json(F.struct(F.collect_list(F.struct(F.col("field_name").alias("field"), "value", "confidence", "evidence")).alias("fields")))
+    rows = _fields(spark, sf_dir).groupBy("doc_id", "page_number").agg(answer.alias("response"))
+    return extraction.parse_fields(rows).select("doc_id", "page_number", "field_name", "value", "confidence", "evidence")
 
 
 @query
-def field_parse_json(spark, sf_dir):
-    answer = json.dumps({"fields": [{"field": "Fee", "value": " 10 ", "confidence": 1.7}, {"field": "", "value": "x"}, {"field": "Due", "value": "N/A"}, {"field": "Term", "value": "30 days", "evidence": "e"}]})
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderkey") % 7 == 0, "broken {").otherwise(answer).alias("response"))
-    return extraction.parse_fields(rows).groupBy("field_name", "value", "confidence", "evidence").agg(F.count("*").alias("n"))
+def fallback_trigger(spark, sf_dir):
+    """Regions as segments, and the values found in them."""
+    name = F.concat_ws("_", F.lit("seg"), F.col("page_number").cast("string"), F.col("region_idx").cast("string")).alias("segment_id")
+    found = _regions(spark, sf_dir)
+    segs = found.select("doc_id", name, "text", (F.col("region_type") == "key_value").alias("is_key_value_block"))
+    valued = extraction.extract_by_rule(found).where(~F.lower("value").isin(extraction.NO_VALUE)).select("doc_id", name, "confidence")
+    return extraction.needs_fallback(segs, valued).select("doc_id", "segment_id", "fallback")
+
+
+def _flow(spark, sf_dir):
+    rows = sources.letters(spark, sf_dir).withColumnRenamed("text", "native_text").withColumn("ocr_text", F.lit(""))
+    return flow.run(sources.spread(rows), budget=segments.Budget(min_tokens=1), keep=sources.kept)
 
 
 @query
-def fallback_trigger(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.lit("seg_001").alias("segment_id"))
-    segs = o.withColumns({"text": F.lit("A: 1\nB: 2\nC: 3\nD: 4"), "is_key_value_block": F.col("doc_id") % 2 == 0})
-    found = o.where("doc_id % 3 <> 0").withColumn("confidence", F.when(F.col("doc_id") % 5 == 0, 0.5).otherwise(0.9)).withColumn("_", F.explode(F.sequence(F.lit(1), (F.col("doc_id") % 3).cast("int"))))
-    return extraction.needs_fallback(segs, found).select("doc_id", "fallback")
+def flow_report(spark, sf_dir):
+    """Letters through the whole flow, from pages to the report's table of fields."""
+    sheet = _flow(spark, sf_dir).sheets["Extracted Fields"]
+    return sheet.select("doc_id", F.col("#").alias("place"), F.col("Field Name").alias("field_name"), F.col("Value").alias("value"), F.col("Occurrences").alias("occurrence_count"), F.col("Conflict").alias("has_conflict"), F.col("Status").alias("validation_status"))
 
 
 @query
 def cost_summary(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        F.concat(F.lit("model-"), (F.col("o_orderkey") % 3).cast("string")).alias("model_used"), (F.col("o_orderkey") % 1000).alias("prompt_tokens"),
-        (F.col("o_orderkey") % 100).alias("completion_tokens"), F.when(F.col("o_orderkey") % 50 == 0, "timeout").alias("error"),
-    )
-    out = extraction.usage(rows)
+    out = extraction.usage(_flow(spark, sf_dir).results)
     return out.withColumn("models_used", F.array_join("models_used", ","))
 
 
@@ -215,14 +225,16 @@ def field_checks(spark, sf_dir):
 
 @query
 def grounding(spark, sf_dir):
-    fields = _fields(spark, sf_dir).withColumn("value", F.when(F.col("doc_id") % 4 == 0, F.upper("value")).when(F.col("doc_id") % 4 == 1, F.concat(F.col("value"), F.lit(" zz"))).otherwise(F.col("value")))
-    rows = validation.with_targets(fields, sources.letters(spark, sf_dir)).select(validation.ground(F.col("value"), F.col("targets")).alias("g"))
-    return rows.groupBy("g.is_grounded", "g.match_type", "g.matched_in", "g.penalty").agg(F.count("*").alias("n"))
+    """Every value, and those with wider spaces, looked for from the first page on."""
+    fields = _fields(spark, sf_dir).select("doc_id", F.lit(1).alias("page_number"), "field_name", "value")
+    wide = fields.where(F.col("value").contains(" ")).withColumn("value", F.replace("value", F.lit(" "), F.lit("  ")))
+    rows = validation.grounded(fields.union(wide), sources.letters(spark, sf_dir))
+    return rows.select("doc_id", "field_name", "value", "grounding.*").distinct()
 
 
 @query
 def validate_status(spark, sf_dir):
-    return _validated(spark, sf_dir).select("doc_id", "field_name", "validation_status", "rejection_reason")
+    return _validated(spark, sf_dir).select("doc_id", "page_number", "field_name", "validation_status", "rejection_reason")
 
 
 @query
@@ -237,8 +249,17 @@ def consolidated_fields(spark, sf_dir):
 
 @query
 def consolidation_summary(spark, sf_dir):
-    rows = _validated(spark, sf_dir).withColumn("doc_id", F.col("doc_id") % 100)
-    return consolidation.summary(consolidation.consolidate(rows))
+    return consolidation.summary(consolidation.consolidate(_validated(spark, sf_dir)))
+
+
+@query
+def field_table(spark, sf_dir):
+    return consolidation.listed(consolidation.consolidate(_validated(spark, sf_dir))).select("doc_id", "place", "field_name", "short_value", "mark")
+
+
+@query
+def category_hints(spark, sf_dir):
+    return _fields(spark, sf_dir).select("field_name", consolidation.category_hint(F.col("field_name")).alias("hint")).groupBy("field_name", "hint").agg(F.count("*").alias("n"))
 
 
 @query
@@ -274,14 +295,22 @@ def tier_decisions(spark, sf_dir):
 
 @query
 def tier_canonical(spark, sf_dir):
-    out = consolidation.canonical_fields(_candidates(spark, sf_dir))
+    rows = _candidates(spark, sf_dir)
+    first = rows.where("decision = 'KEEP'").groupBy("doc_id").agg(F.min("candidate_id").alias("merge_into_candidate_id"))
+    out = consolidation.canonical_fields(consolidation.selected(rows.join(first, "doc_id", "left")))
     return out.select("doc_id", "canonical_field_name", "value", "status", F.array_join("source_candidate_ids", ",").alias("sources"), F.array_join("page_numbers", ",").alias("pages"))
 
 
+@query
+def fee_names(spark, sf_dir):
+    amount = F.floor("o_totalprice").cast("string")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(consolidation.fee_name(F.lit("USD"), amount).alias("canonical_field_name")).agg(F.count("*").alias("n"))
+
+
 @query
 def ui_filter(spark, sf_dir):
     rows = consolidation.marked(consolidation.consolidate(_validated(spark, sf_dir)))
-    return consolidation.search(rows, "FEE").select("doc_id", "field_name", "short_value", "band")
+    return consolidation.search(rows, "FEE").select("doc_id", "field_name", "short_value", "band", consolidation.live_status(F.col("confidence")).alias("live"))
 
 
 @query

@@ -12,6 +12,11 @@ def arriving(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
+def arriving_files(spark: SparkSession, path: str, glob: str = "*.[pP][dD][fF]") -> DataFrame:
+    """(path, content) of files as they land in a folder."""
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", glob).load(path).select("path", "content")
+
+
 def run_batches(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
     """Apply work to each batch and write its rows under the batch's number: a batch that is run again replaces its own rows."""
 
