@@ -2,10 +2,12 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from folioflow import sources
-from folioflow.operators import consolidation, extraction, masking, pages, segments, validation
+from folioflow import streaming
+from folioflow.operators import consolidation, extraction, flow, masking, pages, segments, validation
 from folioflow.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -31,7 +33,7 @@ def states(lines):
 
     kv = re.compile(r"^[A-Z][A-Za-z0-9 /\-()]{1,60}\s*:\s*.+$")
     tab = re.compile(r"^.+(\t+|\s{3,}).+$")
-    head = re.compile(r"^([A-Z][A-Z\s\-/]{3,60}|([A-Z][a-z]+\s){1,8}[A-Z][a-z]+)$")
+    head = re.compile(r"^([A-Z][A-Z\s\-/]{3,60}|[A-Z][a-z]+(\s+[A-Z][a-z]+){1,8})$")
     out, i = [], 0
     while i < len(lines):
         bare = lines[i].strip()
@@ -91,7 +93,7 @@ def test_segments_keep_budget():
 def test_fields_checks_and_grounding(spark):
     p = page(spark, "ORDER NOTE\n\nFee Type: flat fee\nPayment Terms: thirty days\nPage 3: x\n\nplain words end here")
     fields = extraction.extract_by_rule(pages.regions(pages.lines(p)))
-    done = validation.validate(validation.with_targets(fields, p))
+    done = validation.validate(fields, p)
     status = {r.field_name: r.validation_status for r in done.collect()}
     assert status == {"Fee Type": "accepted", "Payment Terms": "accepted", "Page 3": "rejected"}
     mapped = extraction.normalize_values(extraction.map_targets(fields))
@@ -101,4 +103,209 @@ def test_fields_checks_and_grounding(spark):
 
 def test_letters_read(spark):
     if os.path.exists(SF):
-        assert sources.letters(spark, SF).count() == 1500
+        assert {r.page_number: r.n for r in sources.letters(spark, SF).groupBy("page_number").agg(F.count("*").alias("n")).collect()}.keys() == {1, 2, 3}
+
+
+def test_page_numbers_need_their_total_and_blank_last_lines_stay(spark):
+    text = "Page 7\nbody of the page\na second line\nmore words here\nlast words here\nPage 3 of 9\n\n"
+    rows = pages.lines(page(spark, text))
+    assert rows.count() == 7
+    kept = [r.line for r in pages.strip_artifacts(rows).orderBy("line_no").collect()]
+    assert kept == ["Page 7", "body of the page", "a second line", "more words here", "last words here"]
+
+
+def plain_segments(regions, budget):
+    """Segments by keeping the joined text and measuring it anew each time."""
+    out, text, kinds, seen, header = [], "", [], [], ""
+
+    def flush():
+        nonlocal text, kinds, seen
+        if text and max(1, len(text) // 4) >= budget.min_tokens:
+            out.append((text, seen, kinds, header, False))
+            text, kinds, seen = "", [], []
+
+    for number, kind, body in regions:
+        if not (body or "").strip():
+            continue
+        if kind == "heading":
+            flush()
+            header = body
+            continue
+        if kind == "table":
+            flush()
+            out.append((body, [number], ["table"], header, True))
+            continue
+        parts = [x.strip() for x in body.splitlines() if x.strip()] if max(1, len(body) // 4) >= budget.max_tokens else [body]
+        for part in parts:
+            text = text + "\n\n" + part if text else part
+            kinds = kinds if kind in kinds else [*kinds, kind]
+            seen = seen if number in seen else [*seen, number]
+            if max(1, len(text) // 4) >= budget.max_tokens:
+                flush()
+    flush()
+    return out
+
+
+@pytest.mark.parametrize("key", ["bigint", "string"])
+def test_segments_equal_plain_fold(spark, key):
+    rng = random.Random(8)
+    kinds = ["heading", "table", "key_value", "paragraph"]
+    budget = segments.Budget(60, 10)
+    docs = {d: [(1 + i // 4, rng.choice(kinds), rng.choice([None, " ", "x" * rng.randint(1, 90), "line one\n  line two  \n\n" * 12])) for i in range(rng.randint(1, 14))] for d in range(60)}
+    docs[99] = [(1, "paragraph", "a" * 400), (2, "paragraph", "b" * 400)]
+    rows = spark.createDataFrame([(d, n, i, k, t) for d, xs in docs.items() for i, (n, k, t) in enumerate(xs)], "d int, page_number int, region_idx int, region_type string, text string")
+    rows = rows.withColumn("doc_id", F.col("d").cast(key)).drop("d")
+    got = {}
+    for r in segments.segment(rows, budget).orderBy("doc_id", "segment_id").collect():
+        got.setdefault(int(r.doc_id), []).append((r.text, r.page_numbers, r.region_types, r.section_header, r.is_table))
+    for d, xs in docs.items():
+        assert got.get(d, []) == plain_segments(xs, budget)
+    two = segments.fold(docs[99], segments.Budget())
+    assert len(two) == 1 and two[0]["page_numbers"] == [1, 2]
+
+
+def test_overlapping_spans_leave_nothing_in_clear(spark):
+    text = "0123456789abcdefghijklmnopqrstuvwxyz"
+    spans = [("PERSON", 0, 10), ("LOCATION", 9, 12), ("PHONE_NUMBER", 11, 30), ("PERSON", 32, 34)]
+    rows = spark.createDataFrame([(1, 1, k, text[a:b], 0.9, a, b) for k, a, b in spans], "doc_id bigint, page_number int, entity_type string, value string, score double, start int, end int")
+    tokens = masking.assign_tokens(masking.maskable(rows))
+    p = page(spark, text)
+    masked = masking.masked_pages(p, tokens)
+    assert masked.first().masked_text == "[PHONE_NUMBER_1]uv[PERSON_1]yz"
+    entries = masking.mask_entries(tokens)
+    assert masking.rehydrated(masked, entries, "masked_text").first().masked_text == text
+    # numbering goes on from known entries, and known values keep their tokens
+    more = spark.createDataFrame([(1, 2, "PERSON", "wx", 0.9, 5, 7), (1, 2, "PERSON", " new ", 0.9, 9, 14)], rows.schema)
+    got = {r.original_value: r.mask_token for r in masking.assign_tokens(more, entries).collect()}
+    assert got == {"wx": "[PERSON_1]", "new": "[PERSON_2]"}
+
+
+def test_detectors_and_their_checks(spark):
+    good = {
+        "US_SSN": "123-45-6789", "US_ITIN": "912-70-1234", "PHONE_NUMBER": "(212) 555-0188", "IBAN_CODE": "GB82 WEST 1234 5698 7654 32", "UK_NHS": "943 476 5919", "AU_TFN": "123 456 782",
+        "IN_PAN": "ABCPE1234F", "IN_AADHAAR": "2341 2341 2346", "US_PASSPORT": "A12345678", "US_BANK_NUMBER": "12345678901", "US_DRIVER_LICENSE": "D1234567", "MEDICAL_LICENSE": "AB1234563",
+        "PERSON": "Dr. Ann Smith", "ORGANIZATION": "Acme Steel Ltd", "LOCATION": "Austin, TX 78701", "CREDIT_CARD": "4111 1111 1111 1111", "EMAIL_ADDRESS": "a@b.org",
+    }
+    lead = {"US_PASSPORT": "passport number: ", "US_BANK_NUMBER": "account no. ", "US_DRIVER_LICENSE": "driver license "}
+    rows = [(i, 1, f"see {lead.get(k, '')}{v} here") for i, (k, v) in enumerate(good.items())]
+    bad = ["GB82 WEST 1234 5698 7654 33", "943 476 5918", "123 456 783", "2341 2341 2345", "AB1234564", "4111 1111 1111 1112"]
+    rows += [(100 + i, 1, f"see {v} here") for i, v in enumerate(bad)]
+    found = {}
+    for r in masking.detect(spark.createDataFrame(rows, "doc_id bigint, page_number int, text string")).collect():
+        text = rows[r.doc_id if r.doc_id < 100 else len(good) + r.doc_id - 100][2]
+        assert text[r.start : r.end] == r.value
+        found.setdefault(r.doc_id, {})[r.entity_type] = r.value
+    for i, (k, v) in enumerate(good.items()):
+        assert found[i].get(k) == v, k
+    for i, k in enumerate(["IBAN_CODE", "UK_NHS", "AU_TFN", "IN_AADHAAR", "MEDICAL_LICENSE", "CREDIT_CARD"]):
+        assert k not in found.get(100 + i, {})
+
+
+def test_rehydration_is_one_pass_and_reaches_nested_values(spark):
+    entries = spark.createDataFrame([(1, "[A_1]", "see [B_1]"), (1, "[B_1]", "secret")], "doc_id bigint, mask_token string, original_value string")
+    rows = spark.createDataFrame([(1, "[A_1] and [C_9]", ["[B_1]", None], {"k": "[B_1]"}, ("x[B_1]", 3)), (2, "[A_1]", [], {}, None)], "doc_id bigint, s string, a array<string>, m map<string,string>, t struct<u:string,n:int>")
+    got = {r.doc_id: r for r in masking.rehydrated(rows, entries, "s", "a", "m", "t").collect()}
+    assert got[1].s == "see [B_1] and [C_9]" and got[1].a == ["secret", None] and got[1].m == {"k": "secret"} and got[1].t.u == "xsecret" and got[1].is_rehydrated
+    assert got[2].s == "[A_1]" and not got[2].is_rehydrated
+
+
+def test_masks_are_saved_for_the_owner_alone(spark, tmp_path):
+    entries = masking.mask_entries(masking.assign_tokens(masking.maskable(masking.detect(page(spark, "a@b.org, c@d.org")))))
+    sources.write_masks(entries, str(tmp_path / "masks"))
+    assert os.stat(tmp_path / "masks").st_mode & 0o077 == 0
+    back = sources.read_masks(spark, str(tmp_path / "masks"))
+    assert sorted(map(str, back.select(*entries.columns).collect())) == sorted(map(str, entries.collect()))
+    assert masking.counters(back).first().given == 2
+
+
+def test_grounding_finds_the_best_attempt(spark):
+    p = spark.createDataFrame([(1, 1, "Fee is USD  500 at the Caf\u00e9 bill"), (1, 2, "Due on 1 May 2020"), (2, 1, None)], "doc_id bigint, page_number int, text string")
+    cases = [
+        (1, 1, "usd  500", "exact", "segment", 0.0), (1, 1, "USD 500", "normalised", "segment", 0.05), (1, 1, "1 may 2020", "exact", "document", 0.0),
+        (1, 1, "Cafe\u0301 bill", "normalised", "segment", 0.05), (1, 2, "nowhere", "not_found", "none", 1.0), (2, 1, "x", "not_found", "none", 1.0), (1, 9, "1 May", "exact", "document", 0.0),
+    ]
+    rows = spark.createDataFrame([c[:3] for c in cases], "doc_id bigint, page_number int, value string")
+    got = {(r.doc_id, r.page_number, r.value): r.grounding for r in validation.grounded(rows, p).collect()}
+    assert len(got) == len(cases)
+    for *key, kind, where, cost in cases:
+        g = got[tuple(key)]
+        assert (g.match_type, g.matched_in, g.penalty) == (kind, where, cost), key
+    assert "Due on 1 May" in got[(1, 1, "1 may 2020")].evidence_found
+
+
+def test_answers_are_retried_salvaged_and_passed_on():
+    seen, naps = [], []
+
+    def ask(model, kind, prompt):
+        seen.append(model)
+        if model == "a":
+            raise extraction.Refused("401")
+        if seen.count("b") < 3:
+            raise TimeoutError("slow")
+        return 'Here: {"fields": []} done', 7, 3
+
+    got = extraction.answered(ask, "table", "x", extraction.Calls(("a", "b"), backoff=1.0), naps.append)
+    assert got == {"response": '{"fields": []}', "model_used": "b", "prompt_tokens": 7, "completion_tokens": 3, "error": None}
+    assert seen == ["a", "b", "b", "b"] and naps == [1.0, 2.0]
+    lost = extraction.answered(lambda *a: ("no json", 1, 1), "table", "x", extraction.Calls(("a",), attempts=2), naps.append)
+    assert lost["response"] is None and lost["error"].startswith("ValueError") and lost["prompt_tokens"] == 0
+
+
+def test_payment_labels(spark):
+    terms = {"within 30 business days": "30 Working Days", "thirty days": "30 Days", "on receipt": "Upon Receipt", "twenty days": "twenty days", " see annex ": "see annex", "": ""}
+    starts = {
+        "Within ten business days of the invoice": "Within 10 Working Days of the Invoice Date", "no later than 30 days from invoice": "No Later Than 30 Days from Invoice Date",
+        "from the invoice date": "From the Invoice Date", "upon receipt": "Upon Receipt of Invoice", "some business days after the invoice": "Within Working Days of the Invoice Date", "annex": "annex",
+    }
+    for want, rule in ((terms, extraction.payment_term), (starts, extraction.payment_start)):
+        rows = spark.createDataFrame([(k,) for k in want], "v string").select("v", rule(F.col("v"), F.lit("")).alias("x"))
+        assert {r.v: r.x for r in rows.collect()} == want
+
+
+def test_flow_masks_before_asking_and_restores_after(spark):
+    text = "SERVICE LETTER\n\nContact Mail: ann@example.org\nFee Type: flat fee\nPayment Terms: thirty days\nUnclear Value: TBD\n\n" + "plain words that fill the page, " * 8
+    rows = spark.createDataFrame([("a", 1, text, ""), ("a", 2, "", "scanned words of a second page that say nothing"), ("b", 1, "tiny", "")], "doc_id string, page_number int, native_text string, ocr_text string")
+    asked = []
+
+    def ask(model, kind, prompt):
+        assert "example.org" not in prompt
+        return extraction.labelled_lines(model, kind, prompt)
+
+    out = flow.run(rows, ask, keep=sources.kept)
+    fields = {r.field_name: (r.value, r.validation_status, r.is_rehydrated) for r in out.fields.collect()}
+    assert fields["Contact Mail"] == ("ann@example.org", "accepted", True) and fields["Fee Type"][:2] == ("flat fee", "accepted") and fields["Unclear Value"][1] == "rejected"
+    assert [r["Field Name"] for r in out.sheets["Extracted Fields"].orderBy("#").collect()] == ["Contact Mail", "Fee Type", "Payment Terms"]
+    total = out.sheets["Extraction Summary"].first()
+    assert total.doc_id == "a" and total.segments_processed >= 1 and total.cost_usd >= 0 and total.rejected == 1
+    assert out.sheets["Rejected Fields"].count() == 1 and not asked
+
+
+def test_fallback_replaces_fields(spark):
+    segs = spark.createDataFrame([(1, "seg_001", "A Fee: 1\nB Fee: 2\nC Fee: 3", [1], "", True, False, False), (1, "seg_002", "short", [1], "", False, False, False)],
+        "doc_id bigint, segment_id string, text string, page_numbers array<int>, section_header string, is_key_value_block boolean, is_table boolean, is_mixed boolean")
+
+    def ask(model, kind, prompt):
+        return ('{"fields": [{"field": "A Fee", "value": "1"}, {"field": "B Fee", "value": "2"}]}' if kind == "fallback" else '{"fields": [{"field": "Z Fee", "value": "9"}]}'), 10, 5
+
+    results, fields = extraction.extract_document(segments.prompts(segs), ask, keep=sources.kept)
+    assert sorted((r.field_name, r.source_type) for r in fields.collect()) == [("A Fee", "fallback"), ("B Fee", "fallback")]
+    got = {r.segment_id: r for r in results.collect()}
+    assert got["seg_001"].prompt_tokens == 20 and got["seg_001"].field_count == 2 and got["seg_001"].source_type == "fallback" and got["seg_002"].skipped
+
+
+def test_files_are_read_and_streamed(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "B file.PDF").write_bytes(b"first page\fsecond page")
+    (tmp_path / "in" / "z.pdf").write_bytes(b"only page")
+    (tmp_path / "in" / "no.txt").write_bytes(b"x")
+
+    def broken(image):
+        raise RuntimeError("unreadable")
+
+    got = sources.read_files(spark, str(tmp_path / "in"), lambda c: [(t, b"img") for t, _ in sources.plain_text(c)], broken).orderBy("doc_id", "page_number").collect()
+    assert [(r.doc_id, r.page_number, r.native_text, r.ocr_text) for r in got] == [("B file", 1, "first page", ""), ("B file", 2, "second page", ""), ("z", 1, "only page", "")]
+    assert sources.first_file(spark, str(tmp_path / "in")).first().path.endswith("z.pdf")
+    stream = streaming.arriving_files(spark, str(tmp_path / "in"))
+    for _ in range(2):  # a second run finds nothing new
+        streaming.run_batches(stream, lambda b: b.select(F.length("content").alias("n")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [9, 22]
