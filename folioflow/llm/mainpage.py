@@ -24,7 +24,7 @@ from .common import text_chunks
 #: Elements without an end tag, those whose content is raw text, and those that are never shown; fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
-HIDDEN = frozenset("script style textarea title noscript iframe noembed noframes head template svg math object canvas select option button input".split())
+HIDDEN = frozenset("script style textarea title noscript iframe noembed noframes head template svg select option button input".split())
 #: Elements inside a line of text; all others end a block.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
