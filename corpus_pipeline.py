@@ -1,6 +1,8 @@
 """From raw documents to packed training sequences: five stages, each written and read again by the next.
 
-The stages before the last return the columns of documents; the last returns packed pieces.
+The stages before the last return the columns of documents, further ones too whatever their names; the last returns packed
+pieces. Null and empty texts fail the quality rules; null ids pass every stage as rows of their own; repeated rows count as
+copies, of which one stays; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,7 +49,8 @@ STAGES = [
     ("packing", packed_sequences),
 ]
 
-#: SQL can't express sketches, chains, a fitted model or tokenisation; tests hold run() against brute force.
+#: SQL can't express sketches, chains, a fitted model or tokenisation; tests check what each stage promises, and the operators
+#: behind them against brute force, the library or planted rows.
 ORACLE_SQL = None
 
 
