@@ -132,7 +132,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, usable: Column, how: Tra
 
 
 class _Weights(dict):
-    """Weight of each word met, from the features' weights; at most 50,000 words of at most 64 characters are kept, longer ones never."""
+    """Weight of each word met, from the features' weights; about 150,000 words of at most 64 characters are kept, longer ones never."""
 
     def __init__(self, weights: dict[str, float]):
         super().__init__()
@@ -143,7 +143,7 @@ class _Weights(dict):
         value = sum(get(f, 0.0) for f in word_features(word)) if word[0].isalnum() else np.nan
         if len(word) > 64:
             return value
-        if len(self) >= 50_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = value
         return value
