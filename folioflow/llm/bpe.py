@@ -26,8 +26,9 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^S\p{L}\p{N}]+|[S]+(?![^S])|[S]+".replace("S", SPACES)
 #: A unit: no split ever crosses from other characters to white space.
 UNIT = re.compile("[S]*[^S]+|[S]+".replace("S", SPACES))
-#: Units whose ids a worker keeps; beyond, it starts anew.
+#: Units whose ids a worker keeps, and their characters; beyond either, it starts anew.
 KEPT_UNITS = 500_000
+KEPT_CHARS = 1 << 24
 
 
 def byte_letters() -> dict[int, str]:
@@ -43,22 +44,22 @@ class IdStore:
     A unit is a list of words; words are fewer, as units differ by the punctuation that words carry.
     """
 
-    def __init__(self, words_of, ids_of, limit: int = KEPT_UNITS):
-        self.words_of, self.ids_of, self.limit = words_of, ids_of, limit
+    def __init__(self, words_of, ids_of, limit: int = KEPT_UNITS, chars: int = KEPT_CHARS):
+        self.words_of, self.ids_of, self.limit, self.chars = words_of, ids_of, limit, chars
         self.forget_units()
         self.forget_words()
 
     def forget_units(self) -> None:
-        self.units, self.of_unit = _Places(), _Ragged(np.int32)
+        self.units, self.of_unit, self.unit_chars = _Places(), _Ragged(np.int32), 0
 
     def forget_words(self) -> None:
-        self.words, self.of_word = _Places(), _Ragged(np.int32)
+        self.words, self.of_word, self.word_chars = _Places(), _Ragged(np.int32), 0
 
     def ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all units in one array, and how many each has."""
-        if len(self.units) > self.limit:
+        if len(self.units) > self.limit or self.unit_chars > self.chars:
             self.forget_units()
-        if len(self.words) > self.limit:
+        if len(self.words) > self.limit or self.word_chars > self.chars:
             self.forget_words()
         places = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
         unknown = np.flatnonzero(places < 0)
@@ -75,10 +76,12 @@ class IdStore:
             flat, sizes = self.ids_of(fresh)
             self.words.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh))))
             self.of_word.extend(flat, sizes)
+            self.word_chars += sum(map(len, fresh))
         flat, sizes = self.of_word.gather(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
         ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(np.array(counts, dtype=np.int64))]
         self.units.update(zip(new, range(len(self.units), len(self.units) + len(new))))
         self.of_unit.extend(flat, np.diff(ends, prepend=0))
+        self.unit_chars += sum(map(len, new))
 
     def of_texts(self, per_text: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts given as lists of units, in one array, and how many each text has."""

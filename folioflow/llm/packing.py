@@ -7,6 +7,7 @@ smallest capacity, at least the length, that some open window has.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from functools import lru_cache
@@ -27,6 +28,26 @@ BLOCK_IDS = 6_000_000
 WORTH_A_CUT = 16
 #: A digit: a token of its own wherever it stands, that no other text gives.
 MARK = "0"
+#: Settings of the tokenizers whose texts may be cut at white space, lower-cased and split at digits beforehand; fixed values.
+CUT_AT_SPACES = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "end_of_word_suffix": "</w>",
+}
 #: What str.split() takes for white space, but Unicode and tokenizers don't.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 _UNIT = re.compile("[^S]+".replace("S", SPACES))
@@ -124,7 +145,8 @@ def pack(lengths: list[int], size: int = WINDOW, worth: int = WORTH_A_CUT) -> li
 class UnitIds:
     """Ids of texts by the tokenizers library, run on units between white space not met lately only.
 
-    Right for tokenizers that drop white space and never join or normalise across it.
+    That is right for tokenizers that drop white space and never join or normalise across it; with any
+    others, told by their settings, whole texts go through the library.
     """
 
     def __init__(self, path: str):
@@ -133,6 +155,11 @@ class UnitIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        spec = json.loads(self.tokenizer.to_str())
+        spec["end_of_word_suffix"] = spec["model"].get("end_of_word_suffix")
+        self.by_units = all(spec[k] == v for k, v in CUT_AT_SPACES.items())
+        if not self.by_units:
+            return
         mark = self.tokenizer.encode(f"a {MARK} a", add_special_tokens=False).ids
         if len(mark) != 3:
             raise ValueError("the mark must be one token")
@@ -212,6 +239,10 @@ class UnitIds:
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, each text's followed by end, and how many each has."""
+        if not self.by_units:
+            found = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32) for t in texts]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            return np.insert(np.concatenate(found), np.cumsum(counts), end), counts + 1
         ids, counts = self.store.of_texts([_UNIT.findall(t) if any(c in t for c in _NOT_SPACE) else t.split() for t in texts])
         return np.insert(ids, np.cumsum(counts), end).astype(np.uint32), counts + 1
 

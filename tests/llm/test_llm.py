@@ -236,6 +236,25 @@ def test_packing_keeps_every_id(spark):
     assert sum(2048 - sum(n for _, n in p) > 16 for p in windows.values()) <= 1
 
 
+def test_packing_takes_any_tokenizer():
+    texts = odd_texts()
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        encoder, library = packing.UnitIds(path), Tokenizer.from_file(path)
+        assert encoder.by_units == (name == "word_bpe_49k.json")
+        ids, counts = encoder.encode(texts, 1)
+        whole = [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+        assert counts.tolist() == [len(w) for w in whole] and ids.tolist() == sum(whole, [])
+
+
+def test_ids_are_forgotten_by_characters():
+    store = bpe.IdStore(lambda units: (units, [1] * len(units)), lambda words: (np.array([len(w) for w in words]), np.ones(len(words), np.int64)), chars=100)
+    for i in range(50):
+        ids, sizes = store.ids(["x" * i, "y" * 60, "x" * i])
+        assert ids.tolist() == [i, 60, i] and sizes.tolist() == [1, 1, 1]
+        assert store.unit_chars <= 100 + 60 + i and store.word_chars <= 100 + 60 + i
+
+
 def test_tightest_window():
     tree = packing.Capacities(100)
     for room, w in ((30, 1), (50, 2), (31, 3)):
