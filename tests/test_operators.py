@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from folioflow import sources
 from folioflow import streaming
+from folioflow.functions import text as T
 from folioflow.operators import consolidation, extraction, flow, masking, pages, segments, validation
 from folioflow.plans import registry
 
@@ -309,3 +310,32 @@ def test_files_are_read_and_streamed(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         streaming.run_batches(stream, lambda b: b.select(F.length("content").alias("n")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [9, 22]
+
+
+def test_blanks_are_those_of_python(spark):
+    texts = ["\x1c a b \x1f", " x　\n", " \t\x0b\x85\xa0 ", "", "​y", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.strip(F.col("t"))).collect()]
+    assert got == [t if t is None else t.strip() for t in texts]
+    marked = spark.createDataFrame([("é plain",), ("plain",), (None,)], "t string").select(T.clean(F.col("t"))).collect()
+    assert [r[0] for r in marked] == ["\xe9 plain", "plain", None]
+
+
+def test_grounding_makes_the_fields_once(spark):
+    """Fields are asked for by one plan, so that their numbers agree between both searches."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = [(1, 1, "Here"), (1, 1, "there"), (1, 2, "nowhere"), (2, 1, "there"), (None, 1, "x")]
+    fields = spark.createDataFrame(rows, "doc_id bigint, page_number int, value string").mapInPandas(counted, "doc_id bigint, page_number int, value string")
+    pages_ = spark.createDataFrame([(1, 1, "it is here"), (1, 2, "and There"), (2, 1, "none")], "doc_id bigint, page_number int, text string")
+    got = {(r.doc_id, r.value): (r.grounding.match_type, r.grounding.matched_in) for r in validation.grounded(fields, pages_).collect()}
+    assert got == {(1, "Here"): ("exact", "segment"), (1, "there"): ("exact", "document"), (1, "nowhere"): ("not_found", "none"), (2, "there"): ("not_found", "none"), (None, "x"): ("not_found", "none")}
+    assert seen.value == len(rows)
+
+
+def test_small_letters_are_dealt_to_all_cores(spark):
+    assert "RoundRobinPartitioning" in sources.letters(spark, SF)._jdf.queryExecution().executedPlan().toString()
