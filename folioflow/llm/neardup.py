@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import _U, Words, durable, free_name, grams, lists, mix64, text_chunks
+from .common import _U, Words, durable, free_name, grams, lean, lists, mix64, text_chunks
 from .graph import connected_components
 
 
@@ -86,7 +86,7 @@ def sketches(docs: DataFrame, p: NearDup) -> DataFrame:
                 names=["doc_id", "n_shingles", "digest", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, sketch array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id bigint, n_shingles bigint, digest binary, sketch array<bigint>")
 
 
 def full_sets(docs: DataFrame, p: NearDup) -> DataFrame:
@@ -104,7 +104,7 @@ def full_sets(docs: DataFrame, p: NearDup) -> DataFrame:
                 [part.column(0), lists(flat, np.array([len(s) for s in sets], dtype=np.int64), pa.int64())], names=["digest", "shingles"]
             )
 
-    return docs.select("digest", "text").mapInArrow(run, "digest binary, shingles array<bigint>")
+    return docs.select("digest", "text").mapInArrow(lean(run), "digest binary, shingles array<bigint>")
 
 
 def _prefixes(classes: DataFrame, p: NearDup) -> DataFrame:
@@ -127,10 +127,10 @@ def _fits(a: str, b: str, p: NearDup):
 
 def _sets_of(wanted: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
     """(digest, shingles) of the wanted classes (digest, doc_id), from the texts of those documents alone."""
-    sets = durable(full_sets(docs.join(wanted.hint("merge"), "doc_id").select("digest", "text"), p))
+    sets = durable(full_sets(docs.join(wanted.hint("merge"), "doc_id").select("digest", "text"), p), gathered=True)
     if sets.groupBy("digest").count().where("count > 1").isEmpty():  # no repeated rows: nothing to shuffle
         return sets
-    return durable(sets.dropDuplicates(["digest"]))
+    return durable(sets.dropDuplicates(["digest"]), gathered=True)
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDup) -> tuple[DataFrame, DataFrame]:
@@ -145,7 +145,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDup)
         .where(F.when(F.size("low") < p.keep, F.col("both") * 100 >= F.size("low") * p.percent).otherwise(F.col("both") >= p.overlap))
         .select("da", "a", "db", "b")
     )
-    est = durable(est)
+    est = durable(est, gathered=True)
     sets = _sets_of(est.select(F.col("da").alias("digest"), F.col("a").alias("doc_id")).union(est.select("db", "b")).distinct(), docs, p)
     joined = est.join(sets.select(F.col("digest").alias("db"), F.col("shingles").alias("xb")), "db").join(
         sets.select(F.col("digest").alias("da"), F.col("shingles").alias("xa")), "da"
@@ -257,7 +257,7 @@ def _ask(dealt: DataFrame, p: NearDup, whole: bool, answer, schema: str) -> Data
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=names)
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(lean(run), schema)
 
 
 def _probed(lists_: DataFrame, hubs: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, full: DataFrame, p: NearDup) -> DataFrame:
@@ -269,10 +269,10 @@ def _probed(lists_: DataFrame, hubs: DataFrame, labels: DataFrame, classes: Data
     hub_label = _named(hubs.where("m > 2").select("value", F.col("hub.digest").alias("hub_digest"), F.col("hub.rep").alias("rep")), labels)
     hub_label = hub_label.select("value", "hub_digest", F.col("label").alias("home"))
     # hubs have been held against their lists; other members can be linked only where they differ still
-    named = durable(_named(lists_.select("value", "digest", "rep", "n").join(hub_label, "value").where("digest <> hub_digest"), labels))
+    named = durable(_named(lists_.select("value", "digest", "rep", "n").join(hub_label, "value").where("digest <> hub_digest"), labels), gathered=True)
     mixed = named.groupBy("value").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("value")
     named = named.join(mixed, "value").select("home", "digest", "rep", "n", "label").distinct()
-    named = durable(named.withColumn("apart", F.col("home") != F.col("label")))
+    named = durable(named.withColumn("apart", F.col("home") != F.col("label")), gathered=True)
     light = named.join(classes.select("digest", F.col("sketch").alias("values")), "digest")
 
     def both_sides(block, row, fit):
@@ -282,8 +282,8 @@ def _probed(lists_: DataFrame, hubs: DataFrame, labels: DataFrame, classes: Data
         block.told |= fit
 
     dealt = _blocks(light.withColumn("one", F.lit(1)), "one", p.block // p.keep)
-    near = durable(_ask(dealt, p, False, both_sides, "digest binary, doc_id bigint").distinct())
-    new = durable(near.join(full, "digest", "left_anti"))
+    near = durable(_ask(dealt, p, False, both_sides, "digest binary, doc_id bigint").distinct(), gathered=True)
+    new = durable(near.join(full, "digest", "left_anti"), gathered=True)
     sets = full.join(near.select("digest"), "digest", "left_semi")
     if not new.isEmpty():
         sets = sets.union(_sets_of(new, docs, p))
@@ -317,23 +317,24 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     first = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes = durable(
         sets.withColumnRenamed("doc_id", "rep").join(first, ["digest", "rep"])
-        .select("digest", "rep", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["digest"])
+        .select("digest", "rep", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["digest"]),
+        gathered=True,
     )
     # a doc_id that stands for several different texts joins their classes
     same = sets.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
     tied = sets.join(same, "doc_id").join(classes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    lists_ = durable(_prefixes(classes, p))
+    lists_ = durable(_prefixes(classes, p), gathered=True)
     # a list's hub is the member with the most retained values that others retain as well
-    hubs = durable(lists_.groupBy("value").agg(F.min(F.struct(-F.col("common"), "rep", "digest", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1"))
+    hubs = durable(lists_.groupBy("value").agg(F.min(F.struct(-F.col("common"), "rep", "digest", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1"), gathered=True)
     lists_ = lists_.join(hubs.select("value"), "value")
     pairs = (
         lists_.join(hubs, "value").where("digest <> hub.digest").where(_fits("n", "hub.n", p))
         .select(F.col("hub.digest").alias("da"), F.col("hub.rep").alias("a"), F.col("digest").alias("db"), F.col("rep").alias("b")).distinct()
     )
     found, full = _verified(pairs, classes, docs, p)
-    edges = durable(found.union(tied))
+    edges = durable(found.union(tied), gathered=True)
     labels = connected_components(edges)
-    more = durable(_probed(lists_, hubs, labels, classes, docs, full, p))
+    more = durable(_probed(lists_, hubs, labels, classes, docs, full, p), gathered=True)
     if not more.isEmpty():
         labels = connected_components(edges.union(more))
     label_of = _named(classes.select("digest", "rep"), labels).select("digest", F.col("label").alias("component"))
@@ -351,7 +352,7 @@ def keep_one(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     found = near_duplicates(docs, p)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = durable(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id"))
+    again = durable(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id"), gathered=True)
     if again.isEmpty():
         return left
     order = Window.partitionBy("doc_id").orderBy("text")

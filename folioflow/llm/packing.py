@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SPACES, IdStore
-from .common import text_chunks
+from .common import lean, text_chunks
 
 WINDOW = 2048
 #: Ids that a task packs together; bounds its memory. Each block leaves one window short of full at most.
@@ -303,4 +303,4 @@ def pack_documents(docs: DataFrame, path: str, end: int = 1, size: int = WINDOW,
 
     schema = SCHEMA + ", ids array<int>" * with_ids
     names = [f.split()[0] for f in schema.split(", ")]
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)

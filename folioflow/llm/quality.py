@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, _U, grams, mix64, text_chunks
+from .common import Words, _U, grams, lean, mix64, text_chunks
 
 
 @dataclass(frozen=True)
@@ -152,7 +152,7 @@ def repetition_quality(docs: DataFrame, rules: RepetitionRules = RepetitionRules
                 names=[f.split()[0] for f in SCHEMA.split(", ")],
             )
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(judge, SCHEMA)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(judge), SCHEMA)
 
 
 def keep_good(docs: DataFrame, rules: RepetitionRules = RepetitionRules()) -> DataFrame:
@@ -166,4 +166,4 @@ def keep_good(docs: DataFrame, rules: RepetitionRules = RepetitionRules()) -> Da
         for part, texts in text_chunks(batches):
             yield part.filter(pa.array(measure(texts, rules)["kept"]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import lean, text_chunks
 
 #: Words and sentence ends, in lower-cased text.
 _TOKENS = re.compile(r"[^\W_]+|[.!?…。！？\n]+")
@@ -224,7 +224,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 names=["doc_id", "score", "predicted", "n_sentences", "offending"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -239,4 +239,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for part, texts in text_chunks(batches):
             yield part.filter(pa.array(scorer.score([t.decode() for t in texts])[0] < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -8,9 +8,10 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folioflow.llm import ann, bpe, chat, mainpage, neardup, packing, passages, quality, toxicity, urls
+from folioflow.llm import ann, bpe, chat, common, mainpage, neardup, packing, passages, quality, toxicity, urls
 
 DOCS = "doc_id bigint, text string"
 RNG = random.Random(3)
@@ -375,3 +376,11 @@ def test_pipeline_keeps_its_promises(spark):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = sum(len(e.ids) + 1 for e in library.encode_batch(texts, add_special_tokens=False))
     assert pieces.agg({"length": "sum"}).first()[0] == want
+
+
+def test_gathered_tables_are_few_files(spark, tmp_path):
+    # 200 partitions of a shuffle would be 200 files, each made by processes of the executor's size
+    many = spark.range(4000).repartition(200, "id")
+    kept = common.durable(many, gathered=True)
+    assert len(kept.inputFiles()) <= common.GATHERED * spark.sparkContext.defaultParallelism < 200
+    assert kept.count() == 4000 and kept.agg(F.sum("id")).first()[0] == 4000 * 3999 // 2
