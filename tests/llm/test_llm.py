@@ -384,3 +384,22 @@ def test_gathered_tables_are_few_files(spark, tmp_path):
     kept = common.durable(many, gathered=True)
     assert len(kept.inputFiles()) <= common.GATHERED * spark.sparkContext.defaultParallelism < 200
     assert kept.count() == 4000 and kept.agg(F.sum("id")).first()[0] == 4000 * 3999 // 2
+
+
+def test_large_buckets_of_seeds_are_sorted_in_parts(monkeypatch):
+    rng = np.random.default_rng(7)
+    seed, doc, pos = rng.integers(0, 900, 6000).astype(np.uint64), rng.integers(0, 50, 6000), rng.integers(0, 400, 6000)
+    spans, sizes = (16 * rng.integers(1, 12, 6000)).astype(np.uint8), []
+    prints = rng.integers(0, 3, int((spans >> 4).sum())).astype(np.uint16)
+    piece = (*passages._pack(seed, doc, pos), *passages._pack(seed, doc, pos + 11), spans.tobytes(), prints.tobytes())
+    inner = passages._several
+    monkeypatch.setattr(passages, "_several", lambda s, d: sizes.append(len(s)) or inner(s, d))
+
+    def rows():
+        sizes.clear()
+        return sorted(t for found in passages.bucket_matches([piece], passages.Passages()) for t in zip(*(c.tolist() for c in found)))
+
+    whole = rows()
+    assert len(whole) > 6000 and max(sizes) == 6000
+    monkeypatch.setattr(passages, "SORTED", 500)
+    assert rows() == whole and max(sizes) < 1000
