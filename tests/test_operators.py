@@ -348,3 +348,27 @@ def test_cost_is_told_without_checking_fields(spark, monkeypatch):
     monkeypatch.setattr(validation, "validate", checked)
     (row,) = registry.QUERIES["cost_summary"](spark, SF).collect()
     assert row.segments_processed > 0 and row.errors == 0 and row.models_used == "default"
+
+
+def test_structure_is_made_only_where_pages_are_read(spark):
+    rows = spark.createDataFrame([("a", 1, "Client Name: Ann Example\nFee Type: flat fee\n\nsome words that go on for a while", "")], sources.PAGES)
+    kept = []
+    out = flow.run(rows, budget=segments.Budget(min_tokens=1), keep=lambda df: kept.append(df.columns) or df)
+    assert not any("plain_text" in columns for columns in kept)
+    page = out.pages.first()
+    assert page.has_key_value and not page.has_table and page.body == page.plain_text and page.body.startswith("Client Name: Ann Example")
+    assert flow.prepare(rows)[0].columns == out.pages.columns
+
+
+def test_noise_and_detectors_skip_only_what_cannot_match(spark):
+    texts = ["", "plain", "é–’ \n\t", "☃", "a☃b → c", "x" * 49 + "☃", "x" * 50 + "☃", "☃ \n ☃", "\x0b\x7f ok", "𝔘 ab", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    whole = F.coalesce(F.regexp_count("t", F.lit(f"[^{T.CLEAN_CLASS}]")) < 0.02 * F.length("t"), F.lit(True)) | (F.length("t") == 0)
+    got = rows.select("t", T.remove_noise(F.col("t")).alias("now"), whole.alias("same")).collect()
+    assert [r.now == r.t for r in got] == [r.same for r in got]
+    text = "Passport No. A12345678, passport: 123456789; Account number 12345678 account 99; driver's license K1234567, a.b@c.org"
+    pages_ = spark.createDataFrame([(1, 1, text), (2, 1, "nothing"), (3, 1, None)], "doc_id int, page_number int, text string")
+    found = {(r.entity_type, r.value, r.start) for r in masking.detect(pages_).collect()}
+    values = {"US_PASSPORT": ["A12345678", "123456789"], "US_BANK_NUMBER": ["12345678"], "US_DRIVER_LICENSE": ["K1234567"], "EMAIL_ADDRESS": ["a.b@c.org"]}
+    assert {f for f in found if f[0] in values} == {(k, v, text.rindex(f" {v}") + 1) for k, some in values.items() for v in some}
+    assert "contains" in masking.detect(pages_)._jdf.queryExecution().analyzed().toString().lower()
