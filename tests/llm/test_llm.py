@@ -163,6 +163,28 @@ def test_edited_passages_are_found(spark):
     assert sum(lost.values()) <= 0.1 * 200  # of those with a fifth of their words changed
 
 
+@pytest.mark.parametrize("holders", [4, 40])
+def test_edited_passages_are_found_whoever_else_has_their_parts(spark, holders):
+    """Each part alone stands in many documents before the source and between it and the edited copy."""
+    rng = random.Random(29)
+    rows, want = [], {}
+    for sizes in [(20, 20, 20), (15, 20, 15, 20), (30, 30)]:
+        parts = [fresh(n, rng) for n in sizes]
+        for k in range(2):
+            for _ in range(holders):
+                rows += [(len(rows) + i, " ".join(fresh(30, rng) + part + fresh(30, rng))) for i, part in enumerate(parts)]
+            whole = [list(part) for part in parts]
+            if k:  # a word of each part differs, for no 50 words to be equal
+                for part in whole:
+                    part[len(part) // 2] = fresh(1, rng)[0]
+            rows.append((len(rows), " ".join(sum([fresh(30, rng), *whole, fresh(30, rng)], []))))
+        want[len(rows) - 1] = {(30, 30 + sum(sizes))}
+    got = {}
+    for r in passages.shared_passages(spark.createDataFrame(rows, DOCS)).collect():
+        got.setdefault(r.doc_id, set()).add((r.start_word, r.end_word))
+    assert got == want
+
+
 def test_chain_prefers_the_diagonal():
     lines = passages.chain([0, 5, 10, 15], [100, 105, 3, 115], 5, 0.1, 30)
     assert lines[0] == [0, 1, 3] and [2] in lines
