@@ -185,6 +185,19 @@ def test_edited_passages_are_found_whoever_else_has_their_parts(spark, holders):
     assert got == want
 
 
+def test_edited_passages_are_found_by_one_common_line(spark):
+    """All seeds they share are in 14 words that many documents have, those before the source and the last before the copy too."""
+    rng = random.Random(31)
+    line, passage = fresh(14, rng), fresh(36, rng)
+    edited = [fresh(1, rng)[0] if i % 4 == 0 else word for i, word in enumerate(passage)]
+    bodies = [[*line, *fresh(60, rng)] for _ in range(80)]
+    bodies[40], bodies[-1] = line + passage, line + edited
+    bodies[-1:-1] = [[*fresh(40, rng), *line, *fresh(40, rng)] for _ in range(3)]
+    rows = [(i, " ".join(fresh(30, rng) + body + fresh(30, rng))) for i, body in enumerate(bodies)]
+    got = [(r.doc_id, r.source_id, r.start_word, r.end_word) for r in passages.shared_passages(spark.createDataFrame(rows, DOCS)).collect()]
+    assert got == [(len(rows) - 1, 40, 30, 80)]
+
+
 def test_chain_prefers_the_diagonal():
     lines = passages.chain([0, 5, 10, 15], [100, 105, 3, 115], 5, 0.1, 30)
     assert lines[0] == [0, 1, 3] and [2] in lines
