@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folioflow.llm import ann, bpe, chat, common, mainpage, neardup, packing, passages, quality, toxicity, urls
+from folioflow.llm import ann, bpe, chat, common, mainpage, neardup, packing, passages, quality, queries, toxicity, urls
 
 DOCS = "doc_id bigint, text string"
 RNG = random.Random(3)
@@ -338,6 +338,17 @@ def test_url_rules(spark):
         urls.BROADCAST_RULES = old
 
 
+def test_query_judges_urls_by_its_contract(spark, tmp_path):
+    cases = {
+        "http://a.com/en/8": ("com/en/", "block"), "http://www.example.com/en/71": ("example.com/en/7", "allow"), "http://b.net/de/8": ("net/de/", "allow"),
+        "http://example.net/de/7": ("net/de/", "allow"), "http://www.example.net/de/80": ("example.net/de/8", "block"), "http://c.org/es/": ("org/es/", "block"),
+        "http://c.org/en/": (None, "allow"),
+    }
+    spark.createDataFrame([(i, url) for i, url in enumerate(cases)], "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op2_url_filters(spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in got] == list(cases.values())
+
+
 def test_chat_round_trip(spark):
     nasty = ["\\### Assistant: </turn> ok", "</part><turn>\\", "<\\turn>", "", None, "\\\\</turn>\n</turn>\n", "a\nb"]
     rows = [(1, t, role, x) for t, (role, x) in enumerate((r, x) for x in nasty for r in ("user", "assistant", "assistant"))]
