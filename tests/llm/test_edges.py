@@ -1,6 +1,7 @@
 """Odd tables: empty, null, repeated, very long, and with columns whose names operators use themselves."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -134,3 +135,18 @@ def test_repetitive_texts_are_covered_whole(spark):
         for k in range(len(words) - 49):
             if first.setdefault(tuple(words[k : k + 50]), d) < d:
                 assert set(range(k, k + 50)) <= spans.get(d, set()), (d, k)
+
+
+def test_a_frequent_seed_takes_little_more_memory_than_its_surroundings():
+    p, n = passages.Passages(), 60_000
+    around = np.random.default_rng(1).integers(1, 256, size=(n, 2 * (p.rest + p.more + p.side + p.more)), dtype=np.uint8)
+    around[-1] = around[7]
+    bits = np.zeros((n, 2), np.int64)
+    bits[-1] = (1 << p.rest) - 1
+    tracemalloc.start()
+    try:
+        got = [(x.tolist(), y.tolist()) for x, y in passages.meetings(np.zeros(n, np.int64), np.arange(n), bits, around, p)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == [([n - 1], [7])] and peak < 4 * around.nbytes
