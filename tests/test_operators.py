@@ -372,3 +372,33 @@ def test_noise_and_detectors_skip_only_what_cannot_match(spark):
     values = {"US_PASSPORT": ["A12345678", "123456789"], "US_BANK_NUMBER": ["12345678"], "US_DRIVER_LICENSE": ["K1234567"], "EMAIL_ADDRESS": ["a.b@c.org"]}
     assert {f for f in found if f[0] in values} == {(k, v, text.rindex(f" {v}") + 1) for k, some in values.items() for v in some}
     assert "contains" in masking.detect(pages_)._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_regions_of_pages_need_no_shuffle_and_equal_those_of_lines(spark):
+    rng = random.Random(3)
+    some = [
+        "ORDER CONFIRMATION", "Items And Prices", "Key: v", "Fee Basis: x y", "1\t2\tA", "a   b   c", "plain words here", "", "   ", "Page 1 of 2", "- 3 -", "12", "AB12-CD", "\u00c4\u00d6: \u00e9",
+        "\u3000wide\u3000", "Name : a : b", "  Key Two: 5  ", "\x1fodd\x1f", "PAGE 7 OF 9", "tab\there", "Ends with colon:", "\xa0Key: nb\xa0", "line\u017f: x",
+    ]
+    ends = ["\n", "\n", "\r\n", "\r", "\x0b", "\x85", "\u2028", "\x1c", "\n\n"]
+    texts = ["".join(rng.choice(some) + rng.choice(ends) for _ in range(rng.randint(0, 14))) + rng.choice(["", rng.choice(some)]) for _ in range(600)]
+    rows = [(i // 3, i % 3, x) for i, x in enumerate([*texts, None, "", "\n", "\r\n\r\n"])]
+    pages_ = spark.createDataFrame(rows, "doc_id bigint, page_number int, text string")
+    made, want = pages.page_regions(pages_), pages.regions(pages.strip_artifacts(pages.lines(pages_)))
+    assert made.dtypes == want.dtypes and "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, made.collect())) == sorted(map(str, want.collect()))
+    whole = pages.page_regions(pages_, whole=True).select("doc_id", "page_number", "region_idx", "region_type", "text")
+    assert sorted(map(str, whole.collect())) == sorted(map(str, segments.whole_pages(pages_.where("length(text) > 0"), want).collect()))
+
+
+def test_texts_are_searched_for_what_they_may_hold_alone(spark):
+    rows = ["Dr Ann Lee of Acme Ltd lives in Old Town, NY 12345", "call 212-555-0187 or (212) 555 0187", "078-05-1120 and 943 476 5919", "nothing 12 of 345678", None, ""]
+    pages_ = spark.createDataFrame([(i, 1, x) for i, x in enumerate(rows)], "doc_id bigint, page_number int, text string")
+    found = sorted(map(str, masking.detect(pages_).collect()))
+    plan = masking.detect(pages_)._jdf.queryExecution().analyzed().toString()
+    assert masking.APART in plan and "GmbH)" in plan.replace("|", ")")
+    old, masking.HELD = masking.HELD, {}
+    try:
+        assert found == sorted(map(str, masking.detect(pages_).collect())) and {"PERSON", "ORGANIZATION", "LOCATION", "PHONE_NUMBER", "US_SSN", "UK_NHS"} <= {x.split("'")[1] for x in found}
+    finally:
+        masking.HELD = old
