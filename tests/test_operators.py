@@ -402,3 +402,13 @@ def test_texts_are_searched_for_what_they_may_hold_alone(spark):
         assert found == sorted(map(str, masking.detect(pages_).collect())) and {"PERSON", "ORGANIZATION", "LOCATION", "PHONE_NUMBER", "US_SSN", "UK_NHS"} <= {x.split("'")[1] for x in found}
     finally:
         masking.HELD = old
+
+
+def test_cost_needs_no_count_of_fields(spark):
+    row = registry.QUERIES["cost_summary"](spark, SF)
+    assert "field_count" not in row._jdf.queryExecution().analyzed().toString()
+    rows = [(1, 1, "Client Name: Ann Example\nPayment Terms: thirty days\nFee Type: hourly rates", ""), (1, 2, "too short", ""), (2, 1, "", "plain words of a letter without any field")]
+    pages_ = spark.createDataFrame(rows, "doc_id bigint, page_number int, native_text string, ocr_text string")
+    budget = segments.Budget(min_tokens=1)
+    *_, results, _ = flow.asked(pages_, budget=budget)
+    assert "field_count" in results.columns and flow.usage(pages_, budget=budget).collect() == extraction.usage(results).collect()
